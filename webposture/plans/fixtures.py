@@ -167,7 +167,7 @@ SELECT 's' || CAST(o_custkey AS STRING) AS scan_id,
   CAST(CASE WHEN n % 4 = 0 THEN 404 ELSE 200 END AS INT) AS status,
   CASE WHEN n % 6 = 0 THEN 'application/json' ELSE 'text/html' END AS h_content_type,
   '<html><body><a href="/o/' || coalesce(CAST(next1 AS STRING), 'end') || '">1</a>' || chr(10) ||
-    '<a class=x href=''private/../o/' || coalesce(CAST(next2 AS STRING), 'end') || '#f''>2</a> <a href="/private/' || coalesce(CAST(next2 AS STRING), 'end') || '">3</a>' || chr(10) ||
+    '<a class=x href=''../o/' || coalesce(CAST(next2 AS STRING), 'end') || '#f''>2</a> <a href="/private/' || coalesce(CAST(next2 AS STRING), 'end') || '">3</a>' || chr(10) ||
     '<a href="https://other.example.org/">4</a> password = "' || md5(CAST(o_orderkey AS STRING)) || '"</body></html>' AS body,
   CAST(CASE WHEN n % 9 = 5 THEN 20000000 ELSE NULL END AS BIGINT) AS content_length,
   CASE WHEN n % 9 = 7 THEN 'Request failed: timeout' ELSE NULL END AS fetch_error,
@@ -200,6 +200,11 @@ SELECT CAST(user_id AS STRING) AS scan_id, ts, event_id AS seq,
 FROM events
 """
 
+SQL["page_responses"] = """
+SELECT CAST(page_id AS STRING) AS scan_id, url, CAST(200 AS INT) AS status, 'text/html' AS h_content_type, html AS body
+FROM pages
+"""
+
 # Targets as users type them: with and without scheme, in either case.
 SQL["typed_targets"] = """
 SELECT CAST(c_custkey AS STRING) AS scan_id,
@@ -211,12 +216,12 @@ FROM customer
 # URLs in the forms a collector meets: case, ports, dot segments, spaces, other scripts.
 SQL["raw_urls"] = """
 SELECT o_orderkey AS url_id,
-  CASE o_orderkey % 4 WHEN 0 THEN 'HTTP://' WHEN 1 THEN 'https://' WHEN 2 THEN ' http:\\\\' ELSE 'https:/' END
+  CASE o_orderkey % 4 WHEN 0 THEN 'HTTP://' WHEN 1 THEN 'https://' WHEN 2 THEN ' http:' || chr(92) || chr(92) ELSE 'https:/' END
   || CASE o_orderkey % 3 WHEN 0 THEN 'Shop' WHEN 1 THEN 'u:p@shop' ELSE '' END || CAST(o_custkey AS STRING) || '.Example.com'
   || CASE o_orderkey % 5 WHEN 0 THEN ':80' WHEN 1 THEN ':443' WHEN 2 THEN ':8080' WHEN 3 THEN ':99999' ELSE '' END
   || CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '/a/./b/../c' WHEN 2 THEN '/è ê"' WHEN 3 THEN '/../%2E%2e/x/' WHEN 4 THEN '?q=a b''c' WHEN 5 THEN '#frag' ELSE '/p//q?x=1#y' END AS raw_url
 FROM orders
-""".replace("\\\\\\\\", "\\\\")
+"""
 
 _FLAT_HEADERS = {
     "h_content_type": "Content-Type",
@@ -264,3 +269,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_headers(table(spark, sf_dir, "site_pages"))
+
+
+def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_headers(table(spark, sf_dir, "page_responses"))
