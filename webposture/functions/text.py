@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,18 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(or_, conditions) if conditions else F.lit(False)
 
 
+def keep_where(df: DataFrame, condition: Column, column: str) -> DataFrame:
+    """The rows that meet ``condition``, which tests the costly ``column``.
+
+    An ordinary filter is pushed below the projections that make the column, and their
+    expressions copied into every use.  As output of a generator the column shields them, from
+    this filter and from later ones.
+    """
+    kept = F.when(condition, F.array(F.col(column)))
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode(kept).alias(column))
+
+
 def trim_space(text: Column) -> Column:
     """Strip all Unicode white space; Spark's ``trim`` strips U+0020 only."""
     return F.regexp_replace(text, r"^(?U:\s+)|(?U:\s+)\z", "")

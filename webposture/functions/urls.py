@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webposture.functions.text import keep_where
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _WEB = r"(?s)^(?i:https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
 
@@ -154,6 +156,12 @@ def with_url_parts(df: DataFrame, column: str, out: str = "parts") -> DataFrame:
     return df.withColumn(out, F.when(valid, parts)).drop(*c.values())
 
 
+def normalized(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The rows whose ``column`` is a valid http(s) URL, with the normalised URL as ``out``."""
+    parsed = with_url_parts(df, column, "__parts").withColumn(out, F.col("__parts.url"))
+    return keep_where(parsed.drop("__parts"), F.col(out).isNotNull(), out)
+
+
 def join_url(base: Column, href: Column) -> Column:
     """Place ``href`` on top of the normalised http(s) URL ``base``; normalise the result afterwards.
 

@@ -22,10 +22,8 @@ def normalize_targets(targets: DataFrame) -> DataFrame:
 
 def seeds(targets: DataFrame) -> DataFrame:
     """The targets as frontier rows (scan_id, url, pos 0); invalid target URLs have no scan."""
-    parsed = U.with_url_parts(normalize_targets(targets), "target_url", "__parts")
-    return parsed.filter(F.col("__parts").isNotNull()).select(
-        "scan_id", U.strip_fragment(F.col("__parts.url")).alias("url"), F.lit(0).alias("pos")
-    )
+    valid = U.normalized(normalize_targets(targets), "target_url", "__url")
+    return valid.select("scan_id", U.strip_fragment(F.col("__url")).alias("url"), F.lit(0).alias("pos"))
 
 
 def seed_probes(targets: DataFrame, paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> DataFrame:

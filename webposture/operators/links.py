@@ -9,7 +9,7 @@ from webposture import rules
 from webposture.functions import headers as H
 from webposture.functions import html
 from webposture.functions import urls as U
-from webposture.functions.text import any_of, trim_space
+from webposture.functions.text import any_of, keep_where, trim_space
 
 
 def hrefs(pages: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def extract_links(responses: DataFrame) -> DataFrame:
     href = F.col("href")
     skipped = any_of([href.startswith(prefix) for prefix in rules.SKIPPED_HREF_PREFIXES])
     found = hrefs(responses.filter(H.is_html(F.col("headers"))))
-    return found.withColumn("href", trim_space(href)).filter((href != "") & ~skipped)
+    return keep_where(found.withColumn("href", trim_space(href)), (href != "") & ~skipped, "href")
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
@@ -33,10 +33,7 @@ def resolve_links(links: DataFrame) -> DataFrame:
     Links that lead to other schemes or to no valid URL are dropped.
     """
     joined = links.withColumn("__target", U.join_url(F.col("src_url"), F.col("href")))
-    parsed = U.with_url_parts(joined, "__target", "__parts")
-    return parsed.select("scan_id", "src_url", "pos", F.col("__parts.url").alias("dst_url")).filter(
-        F.col("dst_url").isNotNull()
-    )
+    return U.normalized(joined, "__target", "dst_url").select("scan_id", "src_url", "pos", "dst_url")
 
 
 def same_host_links(links: DataFrame) -> DataFrame:
