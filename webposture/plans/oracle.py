@@ -262,7 +262,7 @@ numbered AS (SELECT domain, ts, seq, row_number() OVER (PARTITION BY domain ORDE
   epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY domain) AS us FROM request_log),
 level AS (SELECT *, n - 2.0::DOUBLE * (us / 1e6::DOUBLE) / 86400.0::DOUBLE AS s FROM numbered),
 lows AS (SELECT *, min(s) OVER (PARTITION BY domain ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS low FROM level)
-SELECT domain, seq, CAST(round(greatest(0.0::DOUBLE, (s - low - 1.0::DOUBLE) / 2.0::DOUBLE * 86400.0::DOUBLE) * 1000) AS BIGINT) AS wait_ms
+SELECT domain, seq, CAST(round(greatest(0.0::DOUBLE, (s - low - 1.0::DOUBLE) / 2.0::DOUBLE * 86400.0::DOUBLE) * 1e6::DOUBLE) AS BIGINT) AS wait_us
 FROM lows"""
 
 # DNS

@@ -177,7 +177,7 @@ def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def token_bucket_wait(spark: SparkSession, sf: str) -> DataFrame:
     waits = pacing.token_bucket_wait(X.table(spark, sf, "request_log"), PACE, PERIOD)
-    return waits.select("domain", "seq", F.round(F.col("wait") * 1000).cast("bigint").alias("wait_ms"))
+    return waits.select("domain", "seq", F.round(F.col("wait") * 1e6).cast("bigint").alias("wait_us"))
 
 
 # Domain posture
@@ -317,7 +317,7 @@ def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     batch = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spark.readStream.schema(batch.schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _response_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,7 +363,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 def stream_pacing_wait(spark: SparkSession, sf: str) -> DataFrame:
     log = X.bind(spark, "request_log", events=_stream(spark, sf, "events"))
     waits = _drain(stream_pacing(log, PACE, PERIOD), "pacing")
-    return waits.select("domain", "seq", F.round(F.col("wait") * 1000).cast("bigint").alias("wait_ms"))
+    return waits.select("domain", "seq", F.round(F.col("wait") * 1e6).cast("bigint").alias("wait_us"))
 
 
 @query

@@ -1,14 +1,15 @@
-"""Session helpers: checkpoint directory and materialisation."""
+"""Session helpers: the shared folder and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for stream checkpoints and intermediate tables.
 
     On a cluster it is the one named in ``spark.checkpoint.dir``.  Only a local session,
     where driver and executors are one process, may fall back to a temporary folder.
@@ -21,19 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="webposture-")
-    spark.sparkContext.setCheckpointDir(fallback)
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="webposture-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    For frames that several later jobs read, or whose values (partition ids) must not
-    change when a lost executor forces a stage to run again.
+    For frames that several later jobs read, or whose values (partition ids) must not change when a
+    lost executor forces a stage to run again.  Unlike a checkpointed RDD the table is columnar and
+    has a known size, so later joins can prune columns and choose their strategy.
     """
     spark = df.sparkSession
-    directory = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
