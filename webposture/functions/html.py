@@ -78,14 +78,18 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, resolve), "")).otherwise(text)
 
 
-def anchor_attributes(html: Column) -> Column:
-    """Attribute texts of the ``<a>`` tags, in document order."""
+def raw_hrefs(html: Column) -> Column:
+    """The ``href`` values of the ``<a>`` tags in document order, as written, quotes included.
+
+    The first ``href`` of a tag counts; tags without a value are left out.
+    """
     has_anchor = F.contains(html, F.lit("<a")) | F.contains(html, F.lit("<A"))
-    return F.when(has_anchor, F.filter(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(1)), lambda a: a != ""))
+    tags = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(1))
+    values = F.transform(F.filter(tags, lambda a: a != ""), lambda a: F.regexp_extract(a, _HREF, 1))
+    return F.when(has_anchor, F.filter(values, lambda v: v != ""))
 
 
-def href_of(attributes: Column) -> Column:
-    """The first ``href`` of a tag, references resolved; '' if there is none."""
-    raw = F.regexp_extract(attributes, _HREF, 1)
+def href_value(raw: Column) -> Column:
+    """A value of ``raw_hrefs`` without quotes, character references resolved."""
     quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
     return decode_references(F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw))

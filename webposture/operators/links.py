@@ -12,19 +12,24 @@ from webposture.functions import urls as U
 from webposture.functions.text import any_of, keep_where, trim_space
 
 
-def hrefs(pages: DataFrame) -> DataFrame:
-    """The ``href`` of every ``<a>`` tag: (scan_id, src_url, pos, href) from (scan_id, url, body)."""
-    tags = pages.select("scan_id", F.col("url").alias("src_url"),
-                        F.posexplode(html.anchor_attributes(F.col("body"))).alias("pos", "attributes"))
-    return tags.select("scan_id", "src_url", "pos", html.href_of(F.col("attributes")).alias("href"))
+def page_hrefs(responses: DataFrame) -> DataFrame:
+    """Replace ``body`` and ``headers`` by ``hrefs``: the raw links of HTML responses, NULL for others."""
+    found = F.when(H.is_html(F.col("headers")), html.raw_hrefs(F.col("body")))
+    return responses.withColumn("hrefs", found).drop("body", "headers")
 
 
-def extract_links(responses: DataFrame) -> DataFrame:
-    """Raw links in document order, of HTML responses only: not empty, not on the skip list."""
+def links_of(pages: DataFrame) -> DataFrame:
+    """One row per link of ``page_hrefs``: not empty, not on the skip list, in document order."""
     href = F.col("href")
     skipped = any_of([href.startswith(prefix) for prefix in rules.SKIPPED_HREF_PREFIXES])
-    found = hrefs(responses.filter(H.is_html(F.col("headers"))))
-    return keep_where(found.withColumn("href", trim_space(href)), (href != "") & ~skipped, "href")
+    raw = pages.select("scan_id", F.col("url").alias("src_url"), F.posexplode("hrefs").alias("pos", "raw"))
+    found = raw.select("scan_id", "src_url", "pos", trim_space(html.href_value(F.col("raw"))).alias("href"))
+    return keep_where(found, (href != "") & ~skipped, "href")
+
+
+def extract_links(responses: DataFrame) -> DataFrame:
+    """The links of HTML responses: (scan_id, src_url, pos, href)."""
+    return links_of(page_hrefs(responses))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:

@@ -48,24 +48,32 @@ def target_domains(targets: DataFrame) -> DataFrame:
     return frontier.seeds(targets).select("scan_id", U.host_of(F.col("url")).alias("domain"))
 
 
+def gated_responses(data: Collected, options: ScanOptions) -> DataFrame:
+    gated = pages.size_gate(data.responses, options.max_response_bytes)
+    return gated.withColumn("url", U.strip_fragment(F.col("url")))
+
+
 def crawl(data: Collected, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
-    """(frontier with ``allowed``, gated responses): which URLs the crawls of ``data`` reach.
+    """(frontier with ``allowed``, fetches): which URLs the crawls of ``data`` reach.
 
     Links count only from pages that a crawler would have read: allowed by robots rules and not
-    failed or too large.
+    failed or too large.  ``fetches`` holds what is needed of every response, links and size, so
+    that the bodies are read once for all of it.
     """
-    gated = pages.size_gate(data.responses, options.max_response_bytes)
-    gated = gated.withColumn("url", U.strip_fragment(F.col("url")))
+    gated = gated_responses(data, options)
+    fetches = materialize(
+        links.page_hrefs(gated).select("scan_id", "url", "error", "bytes", "fetched_at", "hrefs")
+    )
     respect = data.robots_files is not None and not options.ignore_robots
     rule_table = robots.robots_rules(data.robots_files) if respect else None
-    found = links.page_links(gated.filter(F.col("error").isNull()))
+    found = links.resolve_links(links.links_of(fetches))
     if respect:
         readable = robots.robots_filter(found.withColumnRenamed("src_url", "url"), rule_table)
         found = readable.withColumnRenamed("url", "src_url")
     start = frontier.seeds(data.targets).unionByName(frontier.seed_probes(data.targets))
     reached = frontier.crawl_frontier(start, found, options.depth, options.cross_domain)
     plan = frontier.crawl_plan(reached, rule_table) if respect else reached.withColumn("allowed", F.lit(True))
-    return plan, gated
+    return plan, fetches
 
 
 def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanReport:
@@ -73,11 +81,9 @@ def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanRepo
 
     The frontier decides which responses belong to a scan.
     """
-    plan, gated = crawl(data, options)
+    plan, fetches = crawl(data, options)
     plan = materialize(plan)
-    visited = plan.filter("allowed").select("scan_id", "url")
-    fetched = gated.filter(F.col("error").isNull())
-    findings = [scan_visited(fetched, visited)]
+    findings = [scan_visited(gated_responses(data, options), plan.filter("allowed").select("scan_id", "url"))]
     domains = target_domains(data.targets)
     if data.dns_records is not None:
         findings.append(dns.dns_posture(domains, data.dns_records))
@@ -87,7 +93,7 @@ def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanRepo
         found = ct.ct_subdomains(data.ct_entries, options.max_subdomains)
         findings.append(report.for_scans(found, domains))
     table = report.all_findings(*findings)
-    log = report.crawl_log(plan, gated)
+    log = report.crawl_log(plan, fetches)
     return ScanReport(
         report.scan_info(frontier.normalize_targets(data.targets), log, plan),
         report.summary(table, data.targets),
@@ -101,5 +107,5 @@ def scan_visited(responses: DataFrame, visited: DataFrame) -> DataFrame:
     Findings are made first and joined afterwards: they are few and narrow, so no body is ever
     shuffled.
     """
-    found = pages.scan_page(responses)
+    found = pages.scan_page(responses.filter(F.col("error").isNull()))
     return found.join(visited, ["scan_id", "url"], "left_semi")
