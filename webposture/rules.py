@@ -135,8 +135,8 @@ DETECTORS = (
     ),
     Detector(
         "Heroku API Key", "high",
-        r"(?idm)^(?>.*?(?=hero[kK]u))"
-        r"(hero[kK]u.*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})",
+        r"(?idm)^(?>.*?(?=hero[k\x{212a}]u))"
+        r"(hero[k\x{212a}]u.*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})",
         ("heroku",),
         "The page contains a Heroku key",
         group=1,
@@ -144,7 +144,7 @@ DETECTORS = (
     ),
     Detector(
         "Database Connection String", "critical",
-        r"(?i)(po[sſ]tgre[sſ]|my[sſ]ql|mongodb|redi[sſ]|amqp)(\+(?U:\w+))?://(?U:[^\s<>\"']{10,})",
+        r"(?i)(po[s\x{17f}]tgre[s\x{17f}]|my[s\x{17f}]ql|mongodb|redi[s\x{17f}]|amqp)(\+(?U:\w+))?://(?U:[^\s<>\"']{10,})",
         ("://",),
         "The page contains a database URL that may carry credentials",
     ),
@@ -159,10 +159,10 @@ DETECTORS = (
     Detector(
         "Hardcoded Secret", "high",
         # The lookahead rejects most starts before the alternation is tried.
-        r"(?=[pPsSaAſ])(?i)"
-        r"(pa[sſ][sſ]word|pa[sſ][sſ]wd|[sſ]ecret|api_[kK]ey|api[kK]ey|acce[sſ][sſ]_[kK]ey"
-        r"|auth_to[kK]en|private_[kK]ey)"
-        r"(?U:\s*)[=:](?U:\s*)['\"][A-Za-z0-9/+=@\-_.!#$%ſK]{8,}['\"]",
+        r"(?=[pPsSaA\x{17f}])(?i)"
+        r"(pa[s\x{17f}][s\x{17f}]word|pa[s\x{17f}][s\x{17f}]wd|[s\x{17f}]ecret|api_[k\x{212a}]ey|api[k\x{212a}]ey|acce[s\x{17f}][s\x{17f}]_[k\x{212a}]ey"
+        r"|auth_to[k\x{212a}]en|private_[k\x{212a}]ey)"
+        r"(?U:\s*)[=:](?U:\s*)['\"][A-Za-z0-9/+=@\-_.!#$%\x{17f}\x{212a}]{8,}['\"]",
         # Lower-casing leaves U+017F alone, so a text that has it is always searched.
         ("password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token",
          "private_key", "ſ"),
