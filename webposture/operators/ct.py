@@ -68,6 +68,6 @@ def ct_match_targets(feed: DataFrame, targets: DataFrame) -> DataFrame:
     )
     return (
         names.select("subdomain", F.explode(suffixes).alias("domain"))
-        .join(targets.select("domain").distinct(), "domain")
+        .join(targets.select("domain"), "domain", "left_semi")
         .select("domain", "subdomain")
     )

@@ -10,15 +10,24 @@ from webposture.operators.findings import emit, finding, present
 _TYPE = "dns_misconfiguration"
 
 
+def _unbound(key: str) -> Column:
+    """A second grouping key that keeps the result from being partitioned by ``key`` alone.
+
+    A later join on ``key`` then shuffles both sides, which lets Spark split a key that is hot on
+    the other side; next to an aggregation it would not.
+    """
+    return F.xxhash64(key).alias("__unbound")
+
+
 def txt_records(records: DataFrame) -> DataFrame:
     """TXT records with their chunks joined in order; chunks that are not UTF-8 are dropped.
 
-    A group is one record, which the protocol limits to 64 KiB.
+    A group is one record, which the protocol limits to 64 KiB; chunks seen twice count once.
     """
     txt = records.filter(F.col("rrtype") == "TXT").filter(F.is_valid_utf8("value"))
     return txt.groupBy("domain", "owner", "rec_no").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "value"))), lambda c: c["value"]), ""
+            F.transform(F.array_sort(F.collect_set(F.struct("chunk_no", "value"))), lambda c: c["value"]), ""
         ).alias("value")
     )
 
@@ -45,7 +54,7 @@ def domain_facts(records: DataFrame) -> DataFrame:
         (F.col("rrtype") == "CAA").alias("caa"), (F.col("rrtype") == "DNSKEY").alias("dnskey"),
     )
     # min_by takes the first record in answer order.
-    return texts.unionByName(others).groupBy("domain").agg(
+    facts = texts.unionByName(others).groupBy("domain", _unbound("domain")).agg(
         F.min_by("value", F.when(F.col("is_spf"), F.col("rec_no"))).alias("spf"),
         F.min_by("value", F.when(F.col("is_dmarc"), F.col("rec_no"))).alias("dmarc"),
         F.bool_or("apex_txt").alias("apex_txt"),
@@ -53,6 +62,7 @@ def domain_facts(records: DataFrame) -> DataFrame:
         F.bool_or("caa").alias("caa"),
         F.bool_or("dnskey").alias("dnskey"),
     )
+    return facts.drop("__unbound")
 
 
 def _location() -> Column:

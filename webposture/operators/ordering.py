@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from webposture.session import materialize
 
-_ROWS = 1 << 33  # monotonically_increasing_id: partition id above, row number below
-
-
 def before(value: Column, keys: Sequence[str], combine, empty: Column) -> Column:
     """``combine`` of ``value`` over the earlier chunks of the same key; for per-chunk totals."""
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,19 +21,24 @@ def before(value: Column, keys: Sequence[str], combine, empty: Column) -> Column
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``rank``, 0-based within ``keys`` by ``order`` (unique), and ``chunk``.
+    """Add ``rank``, 0-based within ``keys`` by ``order`` (unique), ``chunk`` and ``first``.
 
-    All rows of a (keys, chunk) pair fit one task, and chunks follow the order.  The sorted rows
-    are written once: chunk numbers must not change if a stage runs again.
+    ``first`` is the least value of the leading order column within ``keys``.  All rows of a
+    (keys, chunk) pair fit one task, and chunks follow the order.  The sorted rows are written
+    once: chunk numbers must not change if a stage runs again.
     """
     ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     placed = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("chunk", F.shiftright("__at", 33).cast("int"))
-    totals = placed.groupBy(*keys, "chunk").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    placed = placed.withColumn("chunk", F.shiftright("__at", 33).cast("int"))  # the partition id
+    totals = placed.groupBy(*keys, "chunk").agg(
+        F.min("__at").alias("__start"), F.count("*").alias("__n"), F.min(order[0]).alias("first")
+    )
     offsets = totals.select(
-        *keys, "chunk", "__first", before(F.col("__n"), keys, F.sum, F.lit(0)).alias("__before")
+        *keys, "chunk", "__start",
+        before(F.col("__n"), keys, F.sum, F.lit(0)).alias("__before"),
+        F.min("first").over(Window.partitionBy(*keys)).alias("first"),
     )
     ranked = placed.join(offsets, [*keys, "chunk"])
-    return ranked.withColumn("rank", F.col("__at") - F.col("__first") + F.col("__before")).drop(
-        "__at", "__first", "__before"
+    return ranked.withColumn("rank", F.col("__at") - F.col("__start") + F.col("__before")).drop(
+        "__at", "__start", "__before"
     )

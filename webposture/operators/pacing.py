@@ -28,9 +28,8 @@ def token_bucket_wait(log: DataFrame, rate: float = rules.DEFAULT_RATE, period:
     check_rate(rate, period)
     key = ["domain"]
     log = log.select("domain", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"))
-    first = log.groupBy("domain").agg(F.min("__us").alias("__first"))
-    ranked = with_rank(log, key, ["__us", "seq"]).join(first, "domain")
-    elapsed = (F.col("__us") - F.col("__first")) / F.lit(1e6)
+    ranked = with_rank(log, key, ["__us", "seq"])
+    elapsed = (F.col("__us") - F.col("first")) / F.lit(1e6)
     level = F.col("rank") - F.lit(float(rate)) * elapsed / F.lit(float(period))
     spent = ranked.select("domain", "ts", "seq", "__us", "chunk", level.alias("__s"))
 

@@ -143,9 +143,11 @@ def report_parts(info: DataFrame, counts: DataFrame, findings: DataFrame, part_r
         F.struct(*info_fields).alias("scan_info"),
         F.struct("total_findings", *rules.SEVERITIES).alias("summary"),
     )
-    body = heads.join(grouped, "scan_id", "left")
+    # One head per part: joined on the scan alone, all parts of a large scan would meet in one task.
+    last = F.expr(f"greatest((summary.total_findings - 1) div {int(part_rows)}, 0)").cast("int")
+    heads = heads.withColumn("part_no", F.explode(F.sequence(F.lit(0), last)))
     listed = F.coalesce("findings", F.array()).alias("findings")
-    return body.select(
-        "scan_id", F.coalesce("part_no", F.lit(0)).alias("part_no"),
+    return heads.join(grouped, ["scan_id", "part_no"], "left").select(
+        "scan_id", "part_no",
         F.to_json(F.struct("scan_info", "summary", listed), {"ignoreNullFields": "false"}).alias("report"),
     )

@@ -39,9 +39,11 @@ def robots_rules(files: DataFrame) -> DataFrame:
     With a ``fetched_at`` column the first fetch of an origin counts.
     """
     if "fetched_at" in files.columns:
-        files = files.groupBy("origin").agg(F.min_by(F.struct("status", "content"), "fetched_at").alias("f")).select(
-            "origin", "f.status", "f.content"
+        # Hashed too, so that a later join on the origin shuffles anew and can split hot origins.
+        first = files.groupBy("origin", F.xxhash64("origin")).agg(
+            F.min_by(F.struct("status", "content"), "fetched_at").alias("f")
         )
+        files = first.select("origin", "f.status", "f.content")
     served = F.when(F.col("status").between(200, 299), F.col("content"))
     return files.select("origin", F.coalesce(parse_rules(served), F.array()).alias("rules"))
 

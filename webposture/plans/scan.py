@@ -90,7 +90,8 @@ def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanRepo
     if data.tls_observations is not None:
         findings.append(tls.tls_posture(data.tls_observations.join(domains, "domain")))
     if data.ct_entries is not None:
-        found = ct.ct_subdomains(data.ct_entries, options.max_subdomains)
+        # Written first, so that the join with the scans can split a domain with very many scans.
+        found = materialize(ct.ct_subdomains(data.ct_entries, options.max_subdomains))
         findings.append(report.for_scans(found, domains))
     table = report.all_findings(*findings)
     log = report.crawl_log(plan, fetches)
