@@ -27,7 +27,9 @@ def token_bucket_wait(log: DataFrame, rate: float = rules.DEFAULT_RATE, period:
     """
     check_rate(rate, period)
     key = ["domain"]
-    log = log.select("domain", "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"))
+    # A URL without host belongs to the domain ''.
+    domain = F.coalesce("domain", F.lit("")).alias("domain")
+    log = log.select(domain, "ts", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"))
     ranked = with_rank(log, key, ["__us", "seq"])
     elapsed = (F.col("__us") - F.col("first")) / F.lit(1e6)
     level = F.col("rank") - F.lit(float(rate)) * elapsed / F.lit(float(period))

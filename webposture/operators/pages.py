@@ -39,8 +39,8 @@ def size_gate(responses: DataFrame, max_bytes: int = rules.MAX_RESPONSE_BYTES) -
 
 def page_lines(responses: DataFrame) -> DataFrame:
     """One row per line of a body, numbered from 1; an empty last line is no line."""
-    lines = responses.select("scan_id", "url", F.posexplode(split_lines(F.col("body"))).alias("pos", "line"),
-                             F.size(split_lines(F.col("body"))).alias("n"))
+    split = responses.select("scan_id", "url", split_lines(F.col("body")).alias("lines"))
+    lines = split.select("scan_id", "url", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
     return lines.filter((F.col("line") != "") | (F.col("pos") < F.col("n") - 1)).select(
         "scan_id", "url", (F.col("pos") + 1).cast("int").alias("line_number"), "line"
     )
@@ -52,9 +52,20 @@ def _may_match(text: Column, folded: Column, detector: rules.Detector) -> Column
     return any_of([F.contains(searched, F.lit(a)) for a in detector.anchors])
 
 
+def _looked_up(responses: DataFrame) -> DataFrame:
+    """Add what several rules look at, so that it is made once per row and not once per rule."""
+    headers = F.col("headers")
+    return responses.withColumns({
+        "__path": U.path_of(F.col("url")),
+        "__names": H.header_names(headers),
+        "__html": H.is_html(headers),
+        "__server": H.readable_value(headers, "server"),
+    })
+
+
 def sensitive_file_findings(paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> Column:
     """At most one finding: status 200 and the first listed path the URL's path ends with."""
-    path = U.path_of(F.col("url"))
+    path = F.col("__path")
 
     def hit(rule: rules.PathRule) -> Column:
         return F.when(path.isNull(), F.contains(F.col("url"), F.lit(rule.path))).otherwise(F.endswith(path, F.lit(rule.path)))
@@ -72,7 +83,7 @@ def sensitive_file_findings(paths: Sequence[rules.PathRule] = rules.SENSITIVE_PA
 
 def missing_header_findings(expected: Sequence[rules.HeaderRule] = rules.SECURITY_HEADERS) -> Column:
     """One finding per expected header that a successful HTML response lacks."""
-    names = H.header_names(F.col("headers"))
+    names = F.col("__names")
     missing = present(*[
         F.when(
             ~F.array_contains(names, rule.key),
@@ -84,12 +95,12 @@ def missing_header_findings(expected: Sequence[rules.HeaderRule] = rules.SECURIT
         )
         for rule in expected
     ])
-    return F.when((F.col("status") == 200) & H.is_html(F.col("headers")), missing)
+    return F.when((F.col("status") == 200) & F.col("__html"), missing)
 
 
 def server_findings() -> Column:
     """The Server header tells a version, on any status."""
-    server = H.readable_value(F.col("headers"), "server")
+    server = F.col("__server")
     return F.when(
         F.contains(server, F.lit("/")),
         F.array(finding(
@@ -146,15 +157,15 @@ def header_and_path_findings(
 
 
 def sensitive_files(responses: DataFrame, paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> DataFrame:
-    return emit(responses, sensitive_file_findings(paths))
+    return emit(_looked_up(responses), sensitive_file_findings(paths))
 
 
 def missing_headers(responses: DataFrame, expected: Sequence[rules.HeaderRule] = rules.SECURITY_HEADERS) -> DataFrame:
-    return emit(responses, missing_header_findings(expected))
+    return emit(_looked_up(responses), missing_header_findings(expected))
 
 
 def server_disclosure(responses: DataFrame) -> DataFrame:
-    return emit(responses, server_findings())
+    return emit(_looked_up(responses), server_findings())
 
 
 def scan_page(
@@ -165,5 +176,5 @@ def scan_page(
 ) -> DataFrame:
     """All page checks.  Bodies are read once; the second branch reads only the narrow columns."""
     return scan_content(responses, detectors).unionByName(
-        emit(responses, header_and_path_findings(paths, expected))
+        emit(_looked_up(responses), header_and_path_findings(paths, expected))
     )

@@ -68,9 +68,13 @@ def robots_decision(urls: DataFrame, rules: DataFrame, ignore: bool = False) ->
     """
     if ignore:
         return urls.withColumn("allowed", F.lit(True))
-    keyed = urls.withColumn("__origin", U.origin_of(F.col("url")))
+    url = F.col("url")
+    # The path is made before the join: within the rule filters it would be made for every rule.
+    keyed = urls.withColumns({"__origin": U.origin_of(url), "__path": U.path_of(url)})
     joined = keyed.join(rules.select(F.col("origin").alias("__origin"), F.col("rules").alias("__rules")), "__origin", "left")
-    return joined.withColumn("allowed", is_allowed(U.path_of(F.col("url")), F.col("__rules"))).drop("__origin", "__rules")
+    return joined.withColumn("allowed", is_allowed(F.col("__path"), F.col("__rules"))).drop(
+        "__origin", "__path", "__rules"
+    )
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
