@@ -82,6 +82,11 @@ def test_tls(spark):
         ("k.com", True, True, "TLSv1.3", far, False, None): set(),
         ("l.com", True, True, "TLSv1.3", far, True, "é"): {("HSTS missing includeSubDomains", "info", "")},
         ("not a name", False, False, None, far, True, None): set(),
+        ("a.123", False, False, None, far, True, None): set(),
+        ("-a.com", False, False, None, far, True, None): set(),
+        ("10.0.0.256", False, False, None, far, True, None): set(),
+        ("10.0.0.1", False, False, None, far, True, None): {("Port 443 unreachable", "medium", "")},
+        ("_x.a-b.com", False, False, None, far, True, None): {("Port 443 unreachable", "medium", "")},
     }
     got = observe(spark, list(cases))
     assert got == {f"tls://{c[0]}:443": want for c, want in cases.items() if want}

@@ -121,8 +121,9 @@ def test_links_only_from_html(spark):
 
 
 def test_hostile_html_neither_overflows_nor_stalls(spark):
-    bodies = ["<a " + "x=\"1\" y='2' = z " * 100_000 + ">", "<!--" + "-x" * 500_000, "<" * 500_000, '<a href="' + "../" * 3_000 + 'x">']
-    assert links.page_links(pages(spark, bodies)).count() == 1
+    bodies = ["<a " + "x=\"1\" y='2' = z " * 100_000 + ">", "<!--" + "-x" * 500_000, "<" * 500_000, '<a href="' + "../" * 3_000 + 'x">',
+              '<a href="a' + " " * 500_000 + 'b">', "<a <a <script <!" * 100_000, '<a href="' + "&amp" * 200_000]
+    assert links.page_links(pages(spark, bodies)).count() == 2
 
 
 def test_numeric_references(spark):

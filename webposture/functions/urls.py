@@ -91,7 +91,7 @@ def remove_dot_segments(path: Column) -> Column:
 
 def clean(url: Column) -> Column:
     """Drop what URL parsers ignore: control characters and spaces around, tabs and line ends within."""
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]+", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z|[\t\n\r]++", "")
 
 
 def with_url_parts(df: DataFrame, column: str, out: str = "parts") -> DataFrame:

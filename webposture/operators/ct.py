@@ -12,7 +12,7 @@ from webposture.functions.text import trim_space
 def _names(name_value: Column) -> Column:
     """The names of an entry: one per line, without leading ``*.``, lower-cased."""
     return F.transform(
-        F.split(name_value, "\n", -1), lambda n: F.lower(F.regexp_replace(trim_space(n), r"^(\*\.)+", ""))
+        F.split(name_value, "\n", -1), lambda n: F.lower(F.regexp_replace(trim_space(n), r"^(\*\.)++", ""))
     )
 
 

@@ -13,8 +13,11 @@ from webposture.functions.text import trim_space
 from webposture.operators.findings import emit, finding, present
 
 _TYPE = "tls_issue"
+# A DNS name whose last label is not a number, or an IP address.
 _SERVER_NAME = (
-    r"^(?=.{1,253}\.?\z)(?i:[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?)(?i:\.[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?)*+\.?\z"
+    r"^(?=.{1,253}\z)(?!(?:.*\.)?[0-9]+\.?\z)(?i:[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?)"
+    r"(?i:\.[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?)*+\.?\z"
+    r"|^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
     r"|^[0-9a-fA-F:]*:[0-9a-fA-F:.]+\z"
 )
 
@@ -84,7 +87,10 @@ def hsts_value() -> Column:
 def hsts_max_age(value: Column) -> Column:
     """First ``max-age`` part that reads as an unsigned 64-bit number, else NULL."""
     parts = F.transform(F.split(F.lower(value), ";", -1), trim_space)
-    digits = F.transform(parts, lambda p: F.regexp_extract(p, r'^max-age="*\+?0*([0-9]+)"*\z', 1))
+    digits = F.transform(
+        parts,
+        lambda p: F.regexp_replace(F.regexp_extract(p, r'^max-age="*+\+?([0-9]++)"*+\z', 1), r"^0++(?=.)", ""),
+    )
     ages = F.transform(
         F.filter(digits, lambda d: (d != "") & (F.length(d) <= 20)), lambda d: d.try_cast("decimal(20,0)")
     )
