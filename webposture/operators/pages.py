@@ -52,33 +52,35 @@ def _may_match(text: Column, folded: Column, detector: rules.Detector) -> Column
     return any_of([F.contains(searched, F.lit(a)) for a in detector.anchors])
 
 
-def _looked_up(responses: DataFrame) -> DataFrame:
+def _looked_up(responses: DataFrame, paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> DataFrame:
     """Add what several rules look at, so that it is made once per row and not once per rule."""
-    headers = F.col("headers")
+    headers, url, path = F.col("headers"), F.col("url"), F.col("__path")
+    # The path's end decides; a text that is no URL is searched as a whole.
+    hits = [F.coalesce(F.endswith(path, F.lit(r.path)), F.contains(url, F.lit(r.path))) for r in paths]
     return responses.withColumns({
-        "__path": U.path_of(F.col("url")),
+        "__path": U.path_of(url),
         "__names": H.header_names(headers),
         "__html": H.is_html(headers),
         "__server": H.readable_value(headers, "server"),
-    })
+    }).withColumn("__rule", F.coalesce(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)], F.lit(None)))
 
 
-def sensitive_file_findings(paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> Column:
-    """At most one finding: status 200 and the first listed path the URL's path ends with."""
-    path = F.col("__path")
+def _of_rule(rule_list: Sequence[rules.Detector | rules.PathRule], field: str, index: Column) -> Column:
+    return F.get(F.array(*[F.lit(getattr(rule, field)) for rule in rule_list]), index)
 
-    def hit(rule: rules.PathRule) -> Column:
-        return F.when(path.isNull(), F.contains(F.col("url"), F.lit(rule.path))).otherwise(F.endswith(path, F.lit(rule.path)))
 
-    found = F.lit(None)
-    for rule in reversed(paths):
-        result = F.lit(None) if rule.severity == "info" else finding(
-            F.col("url"), rule.severity, "sensitive_file",
-            f"Sensitive file accessible: {rule.path}", rule.description,
-            f"HTTP 200 returned for {rule.path}",
-        )
-        found = F.when(hit(rule), result).otherwise(found)
-    return F.when(F.col("status") == 200, present(found))
+def sensitive_file_findings(paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> Column:
+    """At most one finding: status 200 and the first listed path the URL's path ends with."""
+    rule = F.col("__rule")
+    severity, path = _of_rule(paths, "severity", rule), _of_rule(paths, "path", rule)
+    return F.when(
+        (F.col("status") == 200) & rule.isNotNull() & (severity != "info"),
+        F.array(finding(
+            F.col("url"), severity, "sensitive_file",
+            F.concat(F.lit("Sensitive file accessible: "), path), _of_rule(paths, "description", rule),
+            F.concat(F.lit("HTTP 200 returned for "), path),
+        )),
+    )
 
 
 def missing_header_findings(expected: Sequence[rules.HeaderRule] = rules.SECURITY_HEADERS) -> Column:
@@ -131,17 +133,15 @@ def scan_content(responses: DataFrame, detectors: Sequence[rules.Detector] = rul
         for i, d in enumerate(detectors)
     ])
     lines = lines.select("scan_id", "url", "pos", "line", F.lower(line).alias("folded"))
+    matches = F.when(any_of([_may_match(line, folded, d) for d in detectors]), matches)
     hits = lines.select("scan_id", "url", "pos", F.explode(matches).alias("m")).filter(F.col("m.secret") != "")
 
-    def of_detector(field: str) -> Column:
-        return F.get(F.array(*[F.lit(getattr(d, field)) for d in detectors]), F.col("m.detector"))
-
     return hits.select(
         "scan_id", "url",
-        of_detector("severity").alias("severity"),
+        _of_rule(detectors, "severity", F.col("m.detector")).alias("severity"),
         F.lit("exposed_secret").alias("finding_type"),
-        of_detector("title").alias("title"),
-        of_detector("description").alias("description"),
+        _of_rule(detectors, "title", F.col("m.detector")).alias("title"),
+        _of_rule(detectors, "description", F.col("m.detector")).alias("description"),
         redact(F.col("m.secret")).alias("evidence"),
         (F.col("pos") + 1).cast("int").alias("line_number"),
     )
@@ -157,7 +157,7 @@ def header_and_path_findings(
 
 
 def sensitive_files(responses: DataFrame, paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS) -> DataFrame:
-    return emit(_looked_up(responses), sensitive_file_findings(paths))
+    return emit(_looked_up(responses, paths), sensitive_file_findings(paths))
 
 
 def missing_headers(responses: DataFrame, expected: Sequence[rules.HeaderRule] = rules.SECURITY_HEADERS) -> DataFrame:
@@ -176,5 +176,5 @@ def scan_page(
 ) -> DataFrame:
     """All page checks.  Bodies are read once; the second branch reads only the narrow columns."""
     return scan_content(responses, detectors).unionByName(
-        emit(_looked_up(responses), header_and_path_findings(paths, expected))
+        emit(_looked_up(responses, paths), header_and_path_findings(paths, expected))
     )
