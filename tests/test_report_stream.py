@@ -4,7 +4,6 @@ import csv
 import json
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from webposture import Collected, ScanOptions, run_scans, schemas
 from webposture.operators import pages, report
