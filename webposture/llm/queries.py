@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import exact_dedup, mixing
+from webposture.llm import exact_dedup, mixing, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), quality(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary lies on the machine that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op7_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_offsets(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
