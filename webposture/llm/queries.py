@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import exact_dedup, mixing, token_store
+from webposture.llm import exact_dedup, mixing, near_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("q") >= 1, 1.0).otherwise(0.25).alias("quality"))
 
 
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), quality(spark, sf_dir))
