@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import exact_dedup, mixing, near_dedup, token_store
+from webposture.llm import decontaminate, exact_dedup, mixing, near_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +56,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE["op4_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -97,3 +102,36 @@ WITH texts AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM marked
 """
+
+ORACLE["op10_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, w, i, unnest(['0 ' || concat_ws(' ', w[i+1], w[i+2], w[i+3], w[i+4], w[i+7], w[i+8]),
+                               '1 ' || concat_ws(' ', w[i+1], w[i+2], w[i+4], w[i+6], w[i+7], w[i+8])]) AS seed
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8)
+  UNION ALL
+  SELECT doc_id, w, i, '2 ' || concat_ws(' ', w[i+1], w[i+2], w[i+3], w[i+4], w[i+5]) AS seed
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5)
+), bs AS (
+  SELECT item_id, w, j, unnest(['0 ' || concat_ws(' ', w[j+1], w[j+2], w[j+3], w[j+4], w[j+7], w[j+8]),
+                                '1 ' || concat_ws(' ', w[j+1], w[j+2], w[j+4], w[j+6], w[j+7], w[j+8])]) AS seed,
+         13 AS size, 11 AS need
+  FROM (SELECT item_id, w, unnest(range(len(w) - 7)) AS j FROM b WHERE len(w) >= 13)
+  UNION ALL
+  SELECT item_id, w, 0 AS j, '2 ' || concat_ws(' ', w[1], w[2], w[3], w[4], w[5]) AS seed, len(w) AS size, len(w) AS need
+  FROM b WHERE len(w) BETWEEN 5 AND 12
+), windows AS (
+  SELECT doc_id, item_id, i, need, size, ds.w AS dw, bs.w AS bw, i - j AS shift,
+         unnest(range(greatest(j - CASE WHEN size = 13 THEN 5 ELSE 0 END, 0), least(j, len(bs.w) - size) + 1)) AS a
+  FROM ds JOIN bs USING (seed)
+), judged AS (
+  SELECT doc_id, item_id, i, need,
+         list_sum([CASE WHEN shift + a + k >= 0 AND bw[a + k + 1] = dw[shift + a + k + 1] THEN 1 ELSE 0 END FOR k IN range(size)]) AS equal
+  FROM windows
+)
+SELECT doc_id, item_id, max(equal)::INTEGER AS equal_words, min(i)::INTEGER AS first_word, (max(i) + 7)::INTEGER AS last_word
+FROM judged WHERE equal >= need GROUP BY ALL
+"""
