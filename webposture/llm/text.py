@@ -89,8 +89,14 @@ class Words:
         terms *= _power_table(longest + 1)[place]
         return mix(np.add.reduceat(terms, self.start - begin))
 
-    def word(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
+    def strings(self, which: np.ndarray) -> list[str]:
+        """Some of the words as strings."""
+        start, length = self.start[which], self.end[which] - self.start[which]
+        ends = np.cumsum(length + 1)
+        joined = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint8)  # no word has a line feed
+        to = np.arange(int(length.sum())) + np.repeat(np.arange(len(which)), length)
+        joined[to] = self.data[np.repeat(start - (ends - length - 1), length) + to]
+        return joined.tobytes().decode("utf-8", "replace").split("\n")[:-1]
 
 
 def chunks(column: pa.Array, breaks: np.ndarray | None = None) -> Iterator[Words]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -37,7 +38,7 @@ SHARD_IDS = 1 << 24
 #: Ones between two samples of the select structure.
 SAMPLE = 256
 #: Different words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_500_000
 
 
 class EliasFano:
@@ -169,36 +170,43 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        # Hashes in order, and which of the remembered words each is.
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.tokens = np.empty(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 16, np.int64)
 
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Encode words with these hashes, which are in order."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         ids = [e.ids for e in found]
-        n, flat = len(self.index), np.fromiter((t for x in ids for t in x), np.uint32)
-        ends = self.bounds[n] + np.cumsum([len(x) for x in ids])
-        while len(self.bounds) < n + len(ids) + 1:
-            self.bounds = np.resize(self.bounds, 2 * len(self.bounds))
-        while len(self.tokens) < ends[-1]:
-            self.tokens = np.resize(self.tokens, 2 * len(self.tokens))
+        n, flat = len(self.keys), np.fromiter(chain.from_iterable(ids), np.uint32)
+        ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, ids), np.int64))
+        if len(self.bounds) < n + len(ids) + 1:
+            self.bounds = np.resize(self.bounds, max(2 * len(self.bounds), n + len(ids) + 1))
+        if len(self.tokens) < ends[-1]:
+            self.tokens = np.resize(self.tokens, max(2 * len(self.tokens), int(ends[-1])))
         self.tokens[self.bounds[n] : ends[-1]] = flat
         self.bounds[n + 1 : n + 1 + len(ids)] = ends
-        self.index.update(zip(keys, range(n, n + len(ids))))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.number = np.insert(self.number, at, np.arange(n, n + len(ids)))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of documents: index of the first, all their ids, ids of each document."""
         for words in chunks(column):
             keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            if len(self.index) > MEMO_WORDS:
+            if len(self.keys) > MEMO_WORDS:
                 self.forget()
-            known = keys.tolist()
-            fresh = [k for k, key in enumerate(known) if key not in self.index]
-            if fresh:
-                self.learn([known[k] for k in fresh], [words.word(first[k]) for k in fresh])
-            at = np.array([self.index[k] for k in known], np.int64)[inverse] if known else np.empty(0, np.int64)
-            start = self.bounds[at]
-            length = self.bounds[at + 1] - start
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == keys[inside]
+            if not known.all():
+                self.learn(keys[~known], words.strings(first[~known]))
+                at = np.searchsorted(self.keys, keys)
+            number = self.number[at][inverse]
+            start = self.bounds[number]
+            length = self.bounds[number + 1] - start
             total = np.concatenate([[0], np.cumsum(length)])
             tokens = self.tokens[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
             yield words.first, tokens, np.diff(total[words.offsets])
