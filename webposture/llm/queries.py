@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import decontaminate, exact_dedup, mixing, near_dedup, token_store, toxicity
+from webposture.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, token_store, toxicity
 from webposture.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), quality(spark, sf_dir))
 
 
+@query
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 10)
+    found = lm_score.scores(docs, lm_score.train(docs.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), *found.columns[1:])
+
+
 def tokenizer_path() -> str:
     """Where the vocabulary lies on the machine that asks."""
     import public_tokenizers
