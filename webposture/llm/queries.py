@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, token_store, toxicity
+from webposture.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, substring_dedup, token_store, toxicity
 from webposture.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), quality(spark, sf_dir))
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
