@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webposture.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, substring_dedup, token_store, toxicity
+from webposture.llm import decontaminate, exact_dedup, licenses, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_store, toxicity
 from webposture.llm.text import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -77,6 +82,11 @@ def op7_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_offsets(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.similar_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
