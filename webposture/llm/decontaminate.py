@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webposture.llm.tables import blocks_for
+from webposture.llm.tables import blocks_for, fresh
 from webposture.session import materialize
 
 SPAN = 8
@@ -107,5 +107,6 @@ def contamination(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item."""
-    found = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    (found_id,) = fresh(docs, "found_id")
+    found = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(found_id)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(found_id)), "left_anti")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webposture.llm.tables import fresh
 from webposture.session import materialize
 
 #: A source is repeated so often at most.
@@ -112,13 +113,14 @@ def mix_report(docs: DataFrame, quality: DataFrame | None = None, **options) ->
 def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    of_id, of_text, of_source, copies, hashed, copy = fresh(docs, "of_id", "of_text", "of_source", "copies", "hashed", "copy")
     take = decisions(docs, quality, **options).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"), F.col("copies").alias("__copies")
+        F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text), F.col("source").alias(of_source), F.col("copies").alias(copies)
     )
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col(names["text_col"])))
+    keyed = docs.withColumn(hashed, F.xxhash64(F.col(names["text_col"])))
     taken = keyed.join(
         take,
-        (F.col("__hash") == F.col("__text")) & F.col(names["id_col"]).eqNullSafe(F.col("__id"))
-        & F.col(names["source_col"]).eqNullSafe(F.col("__source")),
+        (F.col(hashed) == F.col(of_text)) & F.col(names["id_col"]).eqNullSafe(F.col(of_id))
+        & F.col(names["source_col"]).eqNullSafe(F.col(of_source)),
     )
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).drop(copy)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webposture.llm.components import components
+from webposture.llm.tables import fresh
 from webposture.llm.text import Words, chunks, counted, mix, rolling
 from webposture.session import materialize
 
@@ -244,5 +245,6 @@ def _confirm(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component.  Of rows that repeat a kept id, each stays."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")

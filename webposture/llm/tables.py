@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (two or three numbers) that may be broadcast: some tens of MB.
@@ -39,5 +39,12 @@ def blocks_for(rows: int, most: int) -> int:
     return max(1, math.ceil(rows / most))
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are none of the columns'."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
