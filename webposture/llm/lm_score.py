@@ -30,7 +30,7 @@ from webposture.session import materialize
 ORDER = 5
 #: Nodes of the trie at each depth.  Counts are taken of everything; beyond this the least frequent nodes are left out
 #: of the model that tasks hold in memory (some 24 bytes a node), and their bytes escape to shorter contexts.
-MOST_NODES = 1_500_000
+MOST_NODES = 1_000_000
 #: Words whose counts tasks hold in memory; the counts of all others are joined.
 MOST_WORDS = 500_000
 #: Distinct keys that a training task gathers before it hands them on.
