@@ -1,10 +1,10 @@
 """Similar lines by an exact set-similarity join.
 
 A line is the set of its lower-cased words.  The words are brought into one order, rare ones first.  Two sets
-of sizes x <= y with a Jaccard similarity of at least t share at least ceil(t * y) words, so they share one among the
-first y - ceil(t * y) + 1 words of the one and as many of the other (prefix filter).  Pairs of lines that do meet in
-such a word are dropped if their sizes differ too much (length filter) or if too few words are left behind the
-common one (positional filter).  What is left is verified on the sets.
+of sizes x <= y with a Jaccard similarity of at least t share at least ceil(t * y) words, so they share ``MEET`` words among
+the first y - ceil(t * y) + MEET words of the one and as many of the other (prefix filter, extended to several
+words).  Pairs of lines that meet in a word are dropped if their sizes differ too much (length filter) or if too
+few words are left behind the common one (positional filter).  What is left is verified on the sets.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ from webposture.session import materialize
 
 #: Words whose counts decide on the order; all others are rarer and come first, by their hashes.
 MOST_WORDS = 300_000
+#: Words that similar lines must share in their prefixes, if they have so many.
+MEET = 3
+#: Bits of the arrays that mark words and sets: 16 MB, whatever their number.  What they let through in error is
+#: joined away.
+MARK_BITS = 27
 
 
 def line_sets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def _prefixes(percent: int, shared):
     """An Arrow function over (id, text): each line's prefix words with their places in the order."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, rank = shared.value
+        head, rank, twice = shared.value
         for batch in batches:
             for words in chunks(batch.column(1)):
                 hashes, bounds, _, _ = line_sets(words)
@@ -101,7 +106,9 @@ def _prefixes(percent: int, shared):
                 hashes = hashes[order]
                 begin = np.cumsum(size) - size
                 position = np.arange(len(hashes)) - begin[line]
-                prefix = position < (size - -(-size * percent // 100) + 1)[line]
+                prefix = position < (size - -(-size * percent // 100) + MEET)[line]
+                # A word that occurs once is common to no two lines.
+                prefix &= _is_marked(twice, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes[prefix].view(np.int64)), pa.array(sets[line[prefix]].view(np.int64)),
                      pa.array(size[line[prefix]].astype(np.int32)), pa.array(position[prefix].astype(np.int32))],
@@ -111,7 +118,7 @@ def _prefixes(percent: int, shared):
     return find
 
 
-def _members(wanted):
+def _members(marks):
     """An Arrow function over (id, text): the words of the lines whose sets are wanted, once per run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,19 +128,32 @@ def _members(wanted):
                 if not len(hashes):
                     continue
                 sets, first = np.unique(_identity(hashes, bounds), return_index=True)
-                some = first[wanted(sets)]
+                wanted = _is_marked(marks.value, sets)
+                some = first[wanted]
                 if len(some):
                     lists = [pa.array(hashes[bounds[k] : bounds[k + 1]].view(np.int64)) for k in some]
                     column = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.concat_arrays(lists))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sets[wanted(sets)].view(np.int64)), column.cast(pa.list_(pa.int64()))], names=["set", "words"]
+                        [pa.array(sets[wanted].view(np.int64)), column.cast(pa.list_(pa.int64()))], names=["set", "words"]
                     )
 
     return find
 
 
-#: Bits of the array that marks wanted sets: 16 MB, whatever their number; sets let through beyond them are joined away.
-MARK_BITS = 27
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bit array of a column ``key``."""
+    bit = F.col("key").bitwiseAND((1 << MARK_BITS) - 1)
+    bits = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")
+    ).toArrow()
+    marked = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    marked[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return marked
+
+
+def _is_marked(marked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << MARK_BITS) - 1)
+    return (marked[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def similar_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +173,7 @@ def similar_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     head = counts.where(F.col("n") >= floor).toArrow()
     words, n = head["word"].to_numpy().view(np.uint64), head["n"].to_numpy()
     order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((words[order], n[order]))
+    shared = spark.sparkContext.broadcast((words[order], n[order], _marks(counts.select(F.col("word").alias("key")))))
     lines = materialize(texts.mapInArrow(_places, "id long, line int, set long"))
     posts = texts.mapInArrow(_prefixes(percent, shared), "word long, set long, size int, position int").distinct()
     posts = materialize(posts)
@@ -164,22 +184,13 @@ def similar_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     pairs = a.join(b, "word").where(
         (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         & ((most + F.least("pa", "pb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    ).select("a", "b").distinct()
-    pairs = materialize(pairs)
+    )
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.least(F.lit(MEET), needed)).alias("needed"))
+    pairs = materialize(pairs.where("met >= needed").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    bit = F.col("set").bitwiseAND((1 << MARK_BITS) - 1)
-    bits = wanted.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(set & 63 as int))")).alias("bits")
-    ).toArrow()
-    marked = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-    marked[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    marks = spark.sparkContext.broadcast(marked)
-
-    def is_wanted(sets: np.ndarray) -> np.ndarray:
-        at = sets & np.uint64((1 << MARK_BITS) - 1)
-        return (marks.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-    members = texts.mapInArrow(_members(is_wanted), "set long, words array<long>")
+    marks = spark.sparkContext.broadcast(_marks(wanted.select(F.col("set").alias("key"))))
+    members = texts.mapInArrow(_members(marks), "set long, words array<long>")
     members = materialize(members.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")))
     left = members.select(F.col("set").alias("a"), F.col("words").alias("wa"))
     right = members.select(F.col("set").alias("b"), F.col("words").alias("wb"))
