@@ -23,12 +23,12 @@ def decide(spark, content, paths, status=200, **options):
 
 
 ROBOTS = [
-    ("User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\n",
-     {"/": True, "/about": True, "/admin/": False, "/admin/settings": False, "/admin/public/": True, "/admin/public/page": True, "/private/secret": False}),
-    ("", {"/anything": True}),
-    ("User-agent: *\nDisallow: /\n", {"/": False, "/page": False, "": False}),
-    ("User-agent: Googlebot\nDisallow: /secret/\n\nUser-agent: *\nDisallow: /admin/\n", {"/secret/": True, "/admin/": False}),
-    ("# This is a comment\nUser-agent: *\n\n# Block admin\nDisallow: /admin/\n", {"/admin/page": False}),
+    ("User-agent: *\nDisallow: /stock\nAllow: /stock/list\nDisallow: /stock/list/old\n",
+     {"/": True, "/stoc": True, "/stock": False, "/stocks": False, "/stock/list": True, "/stock/list/7": True, "/stock/list/older": False}),
+    ("\n \n", {"/q": True}),
+    ("User-agent: *\nDisallow: /\nAllow: /t\n", {"/": False, "/s": False, "/t": True, "": False}),
+    ("User-agent: crawler-x\nDisallow: /q\n\nUser-agent: *\nDisallow: /r\n", {"/q": True, "/r/1": False}),
+    ("#all\nUser-agent: *\n # \n#Disallow: /u\nDisallow: /v\n", {"/u": True, "/v": False}),
     ("User-agent: *\nUser-agent: other\nDisallow: /x", {"/x": True}),
     ("User-agent: *\r\nDISALLOW: /x  \r\nallow:/x/y\r\nUser-agent: a\nDisallow: /z\nUSER-AGENT:*\nDisallow: /w", {"/x": False, "/x/y": True, "/z": True, "/w": False}),
     ("User-agent: *\nDisallow: /x\nAllow: /x\nDisallow: /y # not here\nDisallow:\nDisallow: /*.pdf", {"/x": True, "/y": True, "/a.pdf": True, "/?q=/x": True}),

@@ -27,7 +27,7 @@ def findings(spark):
 def test_csv(spark, tmp_path):
     sinks.write_report_csv(findings(spark), str(tmp_path / "csv"))
     lines = [line for part in sorted((tmp_path / "csv").glob("part*")) for line in csv.DictReader(part.open())]
-    assert list(lines[0]) == ["url", "severity", "finding_type", "title", "description", "evidence", "line_number"]
+    assert list(lines[0]) == ["scan_id", "url", "severity", "finding_type", "title", "description", "evidence", "line_number"]
     assert [r["line_number"] for r in lines] == ["9", "10", "", ""]
     assert [(r["title"], r["evidence"]) for r in lines if r["severity"] == "low"] == [('a "quoted", title', "back\\slash")]
 
@@ -41,13 +41,14 @@ def test_json(spark, tmp_path):
     assert read["summary"] == [{"scan_id": "s", "total_findings": 4, "critical": 2, "high": 0, "medium": 0, "low": 1, "info": 1}]
 
 
-def test_empty_batch_writes_nothing_and_a_repeated_one_no_doubles(spark, tmp_path):
-    write = sinks.finding_rows_sink(str(tmp_path / "rows"))
+def test_a_repeated_batch_leaves_no_doubles_and_a_new_checkpoint_keeps_old_rows(spark, tmp_path):
+    write = sinks.finding_rows_sink(str(tmp_path / "rows"), "one")
     write(findings(spark).limit(0), 0)
-    assert not (tmp_path / "rows").exists()
     write(findings(spark), 1)
     write(findings(spark), 1)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+    sinks.finding_rows_sink(str(tmp_path / "rows"), "two")(findings(spark).limit(2), 1)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
 
 
 def test_scan_status(spark):
@@ -86,7 +87,7 @@ def scan(spark, **options):
         dns_records=spark.createDataFrame([], schemas.DNS_RECORDS),
         tls_observations=spark.createDataFrame([("e.com", False, False, None, 0, 0, False, None)], schemas.TLS_OBSERVATIONS),
         ct_entries=spark.createDataFrame([("e.com", "x.e.com")], schemas.CT_ENTRIES),
-    ), ScanOptions(**options))
+    ), ScanOptions(**{"max_response_bytes": rules.MAX_RESPONSE_BYTES} | options))
 
 
 def secrets(done):
@@ -106,6 +107,7 @@ def test_whole_scan(spark):
 
 
 def test_scan_options(spark):
+    assert "https://e.com/big" in secrets(scan(spark, max_response_bytes=None))
     assert secrets(scan(spark, ignore_robots=True, depth=1)) == ["https://e.com/a", "https://e.com/private/x"]
 
 
@@ -126,7 +128,7 @@ def test_stream_equals_batch(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = tables.stream_responses(spark, str(tmp_path / "in"), max_files_per_trigger=1)
     start_findings_sink(stream_findings(stream), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id")
+    got = spark.read.parquet(str(tmp_path / "out")).drop("query_id", "batch_id")
     want = report.finding_rows(pages.scan_page(df))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 

@@ -78,15 +78,15 @@ def test_with_scheme(spark):
 
 
 HREFS = [
-    ('<a href="https://example.com/page1">1</a>\n<a href="https://example.com/page2">2</a>', ["https://example.com/page1", "https://example.com/page2"]),
-    ('<a href="/about">A</a><a href="contact">C</a>', ["/about", "contact"]),
+    ('<p><a href="http://shop.test/cart?n=3">Cart</a>, <a class=k href="http://shop.test:81/">home</a>', ["http://shop.test/cart?n=3", "http://shop.test:81/"]),
+    ('<a href="../up">u</a><a href="faq/en">f</a>', ["../up", "faq/en"]),
     ("<a href='x'>", ["x"]),
     ("<A HREF=x/y?a=b>", ["x/y?a=b"]),
     ('<a title=">" href="x">', ["x"]),
     ('<a title="<!--" href="x">', ["x"]),
     ('<a href="x" href="y">', ["x"]),
     ('<a data-href="y" href = "x">', ["x"]),
-    ('<a name="anchor">No href</a>', []),
+    ('<a id=top class="x y">top</a>', []),
     ("", []),
     ('<!-- <a href="x"> --><a href="y">', ["y"]),
     ('<!--><a href="y">', ["y"]),
@@ -98,7 +98,7 @@ HREFS = [
     ('<a href="x', []),
     ('<a href="?a=1&amp;b=2&copy=3&lt;&#x41;&#66;&#128;&notit;&bogus;&amp">', ["?a=1&b=2&copy=3<AB€&notit;&bogus;&"]),
     ('<a href="  /t  ">', ["/t"]),
-    ('<a href="javascript:void(0)"><a href="mailto:t@e.com"><a href="tel:+1"><a href="#s"><a href="data:text/html,x"><a href=""><a href><a href="/real">', ["/real"]),
+    ('<a href=""><a href="data:,q"><a href="#"><a href="tel:117"><a href><a href="javascript:go()"><a href="mailto:a@b.test"><a href="k.html">', ["k.html"]),
     ('<plaintext><a href="x">', []),
 ]
 

@@ -26,14 +26,16 @@ def subdomain_names(entries: DataFrame) -> DataFrame:
     )
 
 
-def subdomain_findings(names: DataFrame, limit: int = rules.MAX_SUBDOMAINS) -> DataFrame:
-    """One info finding for each of the first ``limit`` names of a domain, in byte order.
+def subdomain_findings(names: DataFrame, limit: int | None = None) -> DataFrame:
+    """One info finding for each name of a domain; with ``limit``, for its first ones in byte order.
 
     The rank filter becomes a group limit before the shuffle, so a domain with millions of names
     sends only ``limit`` per task.
     """
-    order = Window.partitionBy("domain").orderBy("subdomain")
-    first = names.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    first = names
+    if limit is not None:
+        order = Window.partitionBy("domain").orderBy("subdomain")
+        first = names.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
     sub = F.col("subdomain")
     return first.select(
         "domain",
@@ -47,7 +49,7 @@ def subdomain_findings(names: DataFrame, limit: int = rules.MAX_SUBDOMAINS) -> D
     )
 
 
-def ct_subdomains(entries: DataFrame, limit: int = rules.MAX_SUBDOMAINS) -> DataFrame:
+def ct_subdomains(entries: DataFrame, limit: int | None = None) -> DataFrame:
     """Findings per domain of ``entries`` (domain, name_value)."""
     return subdomain_findings(subdomain_names(entries), limit)
 

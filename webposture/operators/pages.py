@@ -18,22 +18,32 @@ from webposture.functions.text import any_of, redact, split_lines
 from webposture.operators.findings import emit, finding, present
 
 
-def size_gate(responses: DataFrame, max_bytes: int = rules.MAX_RESPONSE_BYTES) -> DataFrame:
-    """Mark responses whose declared length is over the limit as errors without content.
+def _too_large(max_bytes: int | None) -> Column:
+    over = F.col("content_length") > max_bytes if max_bytes is not None else F.lit(False)
+    return F.coalesce(over, F.lit(False))
+
+
+def fetched(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Responses that a crawler would have read: without fetch error and within the limit, if there is one."""
+    return responses.filter(F.col("fetch_error").isNull() & ~_too_large(max_bytes))
+
+
+def size_gate(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Mark failed fetches, and responses whose declared length is over the limit, as errors without content.
 
     Adds ``error`` and ``bytes`` (size of the body, 0 on errors) and empties headers and body of
     failed fetches.  Responses without declared length pass.
     """
-    too_large = F.col("content_length") > max_bytes
+    too_large = _too_large(max_bytes)
     error = F.when(F.col("fetch_error").isNotNull(), F.col("fetch_error")).when(
         too_large, F.concat(F.lit("Response too large: "), F.col("content_length").cast("string"), F.lit(" bytes"))
     )
-    fetched = F.col("fetch_error").isNull() & ~F.coalesce(too_large, F.lit(False))
+    read = F.col("fetch_error").isNull() & ~too_large
     return responses.withColumns({
         "error": error,
-        "bytes": F.when(fetched, F.coalesce(F.octet_length("body"), F.lit(0))).otherwise(0).cast("bigint"),
-        "body": F.when(fetched, F.col("body")),
-        "headers": F.when(fetched, F.col("headers")),
+        "bytes": F.when(read, F.coalesce(F.octet_length("body"), F.lit(0))).otherwise(0).cast("bigint"),
+        "body": F.when(read, F.col("body")),
+        "headers": F.when(read, F.col("headers")),
     })
 
 
@@ -57,7 +67,7 @@ def _looked_up(responses: DataFrame, paths: Sequence[rules.PathRule] = rules.SEN
     headers, url, path = F.col("headers"), F.col("url"), F.col("__path")
     # The path's end decides; a text that is no URL is searched as a whole.
     hits = [F.coalesce(F.endswith(path, F.lit(r.path)), F.contains(url, F.lit(r.path))) for r in paths]
-    return responses.withColumns({
+    return fetched(responses).withColumns({
         "__path": U.path_of(url),
         "__names": H.header_names(headers),
         "__html": H.is_html(headers),
@@ -123,7 +133,7 @@ def scan_content(responses: DataFrame, detectors: Sequence[rules.Detector] = rul
     # Gated inside the generator: as a filter the test would be pushed below the projection that
     # makes the body, and the body made again for every detector.
     split_suspect = F.when(suspect, F.split(body, "\n", -1))
-    pages = responses.select("scan_id", "url", "body", F.lower(body).alias("folded"))
+    pages = fetched(responses).select("scan_id", "url", "body", F.lower(body).alias("folded"))
     lines = pages.select("scan_id", "url", F.posexplode(split_suspect).alias("pos", "line"))
     matches = F.array(*[
         F.when(
@@ -173,8 +183,11 @@ def scan_page(
     detectors: Sequence[rules.Detector] = rules.DETECTORS,
     paths: Sequence[rules.PathRule] = rules.SENSITIVE_PATHS,
     expected: Sequence[rules.HeaderRule] = rules.SECURITY_HEADERS,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """All page checks.  Bodies are read once; the second branch reads only the narrow columns."""
+    """All page checks on the responses that were fetched.  Bodies are read once; the second branch reads only the
+    narrow columns."""
+    responses = fetched(responses, max_bytes)
     return scan_content(responses, detectors).unionByName(
         emit(_looked_up(responses, paths), header_and_path_findings(paths, expected))
     )

@@ -73,22 +73,22 @@ PATHS = values("paths", "p, severity, description", [(r.path, r.severity, r.desc
 FILES = f"""{PATHS}, files AS ({found(
     'url', 'severity', 'sensitive_file', "'Sensitive file accessible: ' || p", 'description',
     "'HTTP 200 returned for ' || p", scan='target AS scan_id, ')}
-FROM responses_flat, paths
+FROM fetched_flat, paths
 WHERE status = 200 AND severity <> 'info' AND suffix(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), p))"""
 
 HEADER_COLUMNS = ("h_csp", "h_xfo", "h_xcto", "h_sts", "h_xxp", "h_rp", "h_pp")
 HEADERS = "headers AS (" + " UNION ALL ".join(
     found("url", lit(rule.severity), "missing_security_header", lit(f"Missing {rule.name} header"),
           lit(f"The response does not set {rule.name}"), lit(rules.HEADER_ABSENT), scan="target AS scan_id, ")
-    + f" FROM responses_flat WHERE status = 200 AND contains(h_content_type, 'text/html') AND {column} IS NULL"
+    + f" FROM fetched_flat WHERE status = 200 AND contains(h_content_type, 'text/html') AND {column} IS NULL"
     for rule, column in zip(rules.SECURITY_HEADERS, HEADER_COLUMNS)
 ) + ")"
 SERVERS = f"""servers AS ({found('url', "'low'", 'information_disclosure', "'Server version disclosure'",
                                  "'The Server header tells the software and its version'", 'h_server',
                                  scan='target AS scan_id, ')}
-FROM responses_flat WHERE contains(h_server, '/'))"""
-FLAT = fixture("responses_flat")
-SECRETS = content("responses_flat", "target")
+FROM fetched_flat WHERE contains(h_server, '/'))"""
+FLAT = fixture("responses_flat") + ",\nfetched_flat AS (SELECT * FROM responses_flat WHERE fetch_error IS NULL)"
+SECRETS = content("fetched_flat", "target")
 ALL_COLUMNS = "scan_id, url, severity, finding_type, title, description, evidence, line_number"
 PAGE = f"""{FLAT}, {SECRETS}, {FILES}, {HEADERS}, {SERVERS},
 page_findings AS (SELECT * FROM secrets UNION ALL SELECT * FROM files UNION ALL SELECT * FROM headers UNION ALL SELECT * FROM servers)"""
@@ -340,6 +340,7 @@ ct_findings AS ({found("'https://' || sub", "'info'", 'subdomain_discovered', "'
                        "'Named in certificate transparency logs; check that it is still in use'", 'sub', scan='domain, ')}
   FROM capped WHERE n <= 50)"""
 ORACLE["ct_subdomains"] = f"WITH {CT} SELECT * FROM ct_findings"
+ORACLE["ct_subdomain_names"] = f"WITH {CT} SELECT domain, sub AS evidence FROM capped"
 ORACLE["ct_match_targets"] = f"""WITH {CT}, {fixture('dns_targets')},
 feed AS (SELECT DISTINCT sub, regexp_extract(sub, '(?:^|\\.)(d[0-9]+\\.example\\.com)$', 1) AS domain FROM subs)
 SELECT f.domain, f.sub AS subdomain FROM feed f JOIN dns_targets t ON t.domain = f.domain WHERE f.sub <> f.domain"""

@@ -20,8 +20,8 @@ class ScanOptions:
     depth: int = rules.DEFAULT_DEPTH
     ignore_robots: bool = False
     cross_domain: bool = False
-    max_response_bytes: int = rules.MAX_RESPONSE_BYTES
-    max_subdomains: int = rules.MAX_SUBDOMAINS
+    max_response_bytes: int | None = None
+    max_subdomains: int | None = None
 
 
 @dataclass(frozen=True)

@@ -8,11 +8,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webposture import rules, schemas
 from webposture.functions import urls as U
 from webposture.operators import ct, dns, frontier, links, pacing, pages, report, robots, tls
 from webposture.operators.findings import finding_type_label, severity_label
 from webposture.plans import fixtures as X
-from webposture.plans.scan import Collected, crawl, run_scans
+from webposture.plans.scan import Collected, ScanOptions, crawl, run_scans
 from webposture.session import shared_dir
 from webposture.streaming.frontier import dedupe_urls
 from webposture.streaming.pacing import stream_pacing
@@ -23,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 # Pacing of the event log: two requests per day and domain.
 PACE, PERIOD = 2.0, 86_400.0
+# Limits are asked for; by default there are none.
+LIMITED = ScanOptions(max_response_bytes=rules.MAX_RESPONSE_BYTES, max_subdomains=rules.MAX_SUBDOMAINS)
 
 
 def query(function: Query) -> Query:
@@ -64,7 +67,7 @@ def scan_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def size_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.size_gate(X.responses(spark, sf)).select("scan_id", "url", "error", "bytes")
+    return pages.size_gate(X.responses(spark, sf), rules.MAX_RESPONSE_BYTES).select("scan_id", "url", "error", "bytes")
 
 
 # URLs
@@ -142,7 +145,7 @@ def _sites(spark: SparkSession, sf: str) -> Collected:
 @query
 def crawl_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Frontier of every site with the robots decision, from page bodies on."""
-    plan, _ = crawl(_sites(spark, sf))
+    plan, _ = crawl(_sites(spark, sf), LIMITED)
     return plan.select("scan_id", "url", "depth", "allowed")
 
 
@@ -243,7 +246,13 @@ def tls_posture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ct_subdomains(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.ct_subdomains(X.table(spark, sf, "ct_entries"))
+    return ct.ct_subdomains(X.table(spark, sf, "ct_entries"), rules.MAX_SUBDOMAINS)
+
+
+@query
+def ct_subdomain_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every name, without a limit."""
+    return ct.ct_subdomains(X.table(spark, sf, "ct_entries")).select("domain", "evidence")
 
 
 @query
@@ -259,7 +268,7 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
         pages.scan_page(X.responses(spark, sf)),
         dns.dns_posture(targets, X.table(spark, sf, "dns_records")),
         tls.tls_posture(X.table(spark, sf, "tls_observations").join(targets, "domain")),
-        report.for_scans(ct.ct_subdomains(X.table(spark, sf, "ct_entries")), targets),
+        report.for_scans(ct.ct_subdomains(X.table(spark, sf, "ct_entries"), rules.MAX_SUBDOMAINS), targets),
     )
 
 
@@ -287,13 +296,13 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_info(spark: SparkSession, sf: str) -> DataFrame:
-    return run_scans(_sites(spark, sf)).scan_info
+    return run_scans(_sites(spark, sf), LIMITED).scan_info
 
 
 @query
 def site_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of the pages each site's crawl reaches."""
-    return run_scans(_sites(spark, sf)).findings
+    return run_scans(_sites(spark, sf), LIMITED).findings
 
 
 @query
@@ -309,7 +318,7 @@ def scan_status(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
     """The nested report of every site as JSON, 3 findings per part."""
-    done = run_scans(_sites(spark, sf))
+    done = run_scans(_sites(spark, sf), LIMITED)
     return report.report_parts(done.scan_info, done.summary, done.findings, part_rows=3)
 
 
@@ -349,7 +358,8 @@ def stream_finding_rows(spark: SparkSession, sf: str) -> DataFrame:
     start_findings_sink(
         stream_findings(_response_stream(spark, sf)), f"{run}/out", f"{run}/checkpoint", available_now=True
     ).awaitTermination()
-    return spark.read.parquet(f"{run}/out").drop("batch_id")
+    rows = report.finding_rows(spark.createDataFrame([], schemas.FINDINGS)).schema
+    return spark.read.schema(rows).parquet(f"{run}/out").select(rows.names)
 
 
 @query

@@ -21,7 +21,7 @@ def write_report_json(info: DataFrame, summary: DataFrame, findings: DataFrame,
 
 def write_report_csv(findings: DataFrame, path: str) -> None:
     """Findings, most severe first, with header; quotes are doubled, a missing line is blank."""
-    ordered = ranked_findings(findings).orderBy(*REPORT_ORDER).select(*FIELDS)
+    ordered = ranked_findings(findings).orderBy(*REPORT_ORDER).select("scan_id", *FIELDS)
     # Without emptyValue Spark writes "" for empty text.
     ordered.write.mode("overwrite").options(
         header="true", quote='"', escape='"', emptyValue="", nullValue="",
@@ -34,16 +34,16 @@ def write_findings_table(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").partitionBy("severity").parquet(path)
 
 
-def finding_rows_sink(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+def finding_rows_sink(path: str, query_id: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes findings-table rows.
 
-    Every batch owns one folder and overwrites it, so a batch that is repeated after a failure
-    leaves no doubles.  An empty batch writes nothing.
+    Every batch of a query owns one folder and overwrites it, so a batch that is repeated after a
+    failure leaves no doubles.  ``query_id`` must stay over restarts and be another one for another
+    checkpoint, whose batch numbers begin again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = finding_rows(batch)
-        if not rows.isEmpty():
-            rows.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").format(fmt).save(f"{path}/query_id={query_id}/batch_id={batch_id}")
 
     return write

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,9 +13,9 @@ from webposture.operators.pages import scan_page
 from webposture.sources.sinks import finding_rows_sink
 
 
-def stream_findings(responses: DataFrame) -> DataFrame:
+def stream_findings(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """The page checks on a stream; they are stateless, so this is the batch plan."""
-    return scan_page(responses)
+    return scan_page(responses, max_bytes=max_bytes)
 
 
 def running_summary(findings: DataFrame) -> DataFrame:
@@ -26,7 +28,8 @@ def running_summary(findings: DataFrame) -> DataFrame:
 
 def start_findings_sink(findings: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Write a stream of findings as findings-table rows, once per batch even after a restart."""
-    writer = findings.writeStream.foreachBatch(finding_rows_sink(path)).option("checkpointLocation", checkpoint)
+    query_id = md5(checkpoint.rstrip("/").encode()).hexdigest()
+    writer = findings.writeStream.foreachBatch(finding_rows_sink(path, query_id)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
