@@ -5,7 +5,7 @@ import json
 from datetime import datetime
 
 
-from webposture import Collected, ScanOptions, run_scans, schemas
+from webposture import Collected, ScanOptions, rules, run_scans, schemas
 from webposture.operators import pages, report
 from webposture.sources import sinks, tables
 from webposture.streaming.frontier import dedupe_urls
