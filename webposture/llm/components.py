@@ -17,19 +17,26 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges = materialize(edges)  # a > b
+    before = _digest(edges)
     while True:
         large = _star(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "b > a")
         after = materialize(_star(large, "true"))
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        edges, now = after, _digest(after)
+        if now == before:
             break
+        before = now
     # Now every edge leads to the least node of its component.
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of the distinct edges and two hashes of them, whatever their order."""
+    hashed = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(hashed), F.bit_xor(F.xxhash64(hashed, "b"))).first())
+
+
 def _star(edges: DataFrame, which: str) -> DataFrame:
     """Link the neighbours b of each a for which ``which`` holds to the least of a and its neighbours."""
     least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))

@@ -5,6 +5,10 @@ sets by a label, a sequence of ``DEPTH`` of these values.  In that order a set's
 neighbours as long as they share a prefix of at least ``LEAST_DEPTH`` values with it: where few sets share a
 prefix that reaches all of them, and in dense regions only those with a longer common prefix, so the depth follows
 the region.  Candidates whose signatures agree enough are confirmed on the full sets.
+
+The forest is searched twice.  Next neighbours in a few trees connect most of a group; then all neighbours in all trees
+are looked at, and those that are not connected yet are candidates.  So a large group makes no more candidates
+than a few for each of its sets, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from webposture.session import materialize
 
 HASHES = 128
 TREES = 24
+#: Trees whose next neighbours are looked at first.
+FIRST_TREES = 4
 DEPTH = 12
 LEAST_DEPTH = 4
 #: Neighbours on each side of a set in each order.
@@ -112,27 +118,35 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in rows], pa.binary())
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set once per tree, with its label there as bytes that sort like the numbers."""
-    for batch in batches:
-        for a in range(0, len(batch), 512):
-            part = batch.slice(a, 512)
-            signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-            # Least values are small numbers, so they are scrambled before they are cut short.
-            hashed = mix(signature.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * np.uint64(1 << 32))
-            short = (hashed & np.uint64(15)).astype(np.uint8)
-            short = short[:, ::2] | short[:, 1::2] << 4
-            hashed = (hashed >> np.uint64(48)).astype(">u2")
-            for tree in range(TREES):
-                label = hashed[:, _LABELS[tree]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), tree, np.int32)), _binary(label), part.column("rep"), part.column("n"), _binary(short)],
-                    names=["tree", "label", "rep", "n", "short"],
-                )
-
-
-def _neighbours(percent: int):
-    """An Arrow function over sets in the order of (tree, label): pairs of neighbours whose signatures agree."""
+_FOREST = "tree int, label binary, rep long, n long, short binary, component long"
+
+
+def _trees(trees: int):
+    """An Arrow function over sets: each once per tree, with its label there as bytes that sort like the numbers."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                part = batch.slice(a, 512)
+                signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+                # Least values are small numbers, so they are scrambled before they are cut short.
+                hashed = mix(signature.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * np.uint64(1 << 32))
+                short = (hashed & np.uint64(15)).astype(np.uint8)
+                short = short[:, ::2] | short[:, 1::2] << 4
+                hashed = (hashed >> np.uint64(48)).astype(">u2")
+                for tree in range(trees):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), tree, np.int32)), _binary(hashed[:, _LABELS[tree]]), part.column("rep"),
+                         part.column("n"), _binary(short), part.column("component")],
+                        names=["tree", "label", "rep", "n", "short", "component"],
+                    )
+
+    return grow
+
+
+def _neighbours(percent: int, reach: int):
+    """An Arrow function over sets in the order of (tree, label): pairs of neighbours in different components, up to
+    ``reach`` places apart, whose signatures agree."""
     share = percent / 100
     # Values are known by 4 of their bits; that others agree by chance only adds candidates.
     least = int(np.ceil((share - SLACK) * HASHES))
@@ -147,16 +161,17 @@ def _neighbours(percent: int):
             if kept is not None:
                 carried = len(kept)
                 table = pa.concat_tables([kept, table])
-            kept = table.slice(max(0, len(table) - NEIGHBOURS))
+            kept = table.slice(max(0, len(table) - reach))
             tree = table["tree"].to_numpy()
             label = np.frombuffer(b"".join(table["label"].to_pylist()), ">u2").reshape(len(tree), DEPTH)
             short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(tree), HASHES // 2)
-            rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
-            for step in range(1, min(NEIGHBOURS, len(tree) - 1) + 1):
+            rep, n, component = table["rep"].to_numpy(), table["n"].to_numpy(), table["component"].to_numpy()
+            for step in range(1, min(reach, len(tree) - 1) + 1):
                 i = np.arange(max(0, carried - step), len(tree) - step)
                 j = i + step
                 near = (tree[i] == tree[j]) & (label[i, :LEAST_DEPTH] == label[j, :LEAST_DEPTH]).all(1)
                 # Sets of very different size cannot be similar.
+                near &= component[i] != component[j]
                 near &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
                 i, j = i[near], j[near]
                 if not len(i):
@@ -164,7 +179,7 @@ def _neighbours(percent: int):
                 agree = _EQUAL[short[i] ^ short[j]].sum(1) >= least
                 i, j = i[agree], j[agree]
                 low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(low), step, np.int32))], names=["a", "b", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     return scan
 
@@ -190,15 +205,13 @@ def near_duplicates(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     nodes = materialize(nodes)
-    forest = nodes.mapInArrow(_trees, "tree int, label binary, rep long, n long, short binary")
-    order = ["tree", "label", "rep"]
-    pairs = (
-        forest.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_neighbours(percent), "a long, b long, step int")
-        .groupBy("a", "b").agg(F.min("step").alias("step"))
-    )
-    pairs = materialize(pairs)
-    named = _confirm(texts, nodes, pairs, shingle_words, percent)
+    near = _links(texts, nodes.withColumn("component", F.col("rep")), shingle_words, percent, FIRST_TREES, 1)
+    known = materialize(components(near))
+    placed = nodes.join(known, F.col("rep") == F.col("node"), "left")
+    placed = placed.select(*nodes.columns, F.coalesce("component", "rep").alias("component"))
+    far = _links(texts, placed, shingle_words, percent, TREES, NEIGHBOURS)
+    # Components, and the links between them.
+    named = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far))
     nodes = nodes.select("s1", "s2", "rep").join(named, F.col("rep") == F.col("node"), "left")
     nodes = nodes.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     linked = rows.join(nodes, ["s1", "s2"], "left")
@@ -209,12 +222,15 @@ def near_duplicates(
     )
 
 
-def _confirm(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Components of the pairs that hold on the full sets.
-
-    Nearest neighbours are checked first: pairs that their components already connect need no check.  What is left is
-    checked afterwards, so no link between components is lost.
-    """
+def _links(texts: DataFrame, nodes: DataFrame, shingle_words: int, percent: int, trees: int, reach: int) -> DataFrame:
+    """Pairs (a, b) of neighbours in the forest, in different components, that hold on the full sets."""
+    order = ["tree", "label", "rep"]
+    columns = nodes.select("rep", "n", "signature", "component")
+    pairs = (
+        columns.mapInArrow(_trees(trees), _FOREST).repartitionByRange(*order).sortWithinPartitions(*order)
+        .mapInArrow(_neighbours(percent, reach), "a long, b long").distinct()
+    )
+    pairs = materialize(pairs)
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = materialize(wanted)
     full = materialize(
@@ -223,24 +239,11 @@ def _confirm(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words
         .join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id = rep").select("rep", "n", "shingles")
         .dropDuplicates(["rep"])
     )
-
-    def holds(some: DataFrame) -> DataFrame:
-        a = full.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        b = full.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        found = some.select("a", "b").join(a, "a").join(b, "b").withColumn("common", common)
-        return found.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
-
-    links = materialize(holds(pairs.where("step = 1")))
-    known = materialize(components(links))
-    a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.where("step > 1").join(a, "a", "left").join(b, "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = materialize(holds(rest))
-    # Components, and the links between them.
-    joined = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    return components(joined)
+    a = full.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    b = full.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    found = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    found = found.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
+    return materialize(found.select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
