@@ -6,7 +6,7 @@ neighbours as long as they share a prefix of at least ``LEAST_DEPTH`` values wit
 prefix that reaches all of them, and in dense regions only those with a longer common prefix, so the depth follows
 the region.  Candidates whose signatures agree enough are confirmed on the full sets.
 
-The forest is searched twice.  Next neighbours in a few trees connect most of a group; then all neighbours in all trees
+The forest is searched twice.  The nearest neighbours in a few trees connect most of a group; then all neighbours in all trees
 are looked at, and those that are not connected yet are candidates.  So a large group makes no more candidates
 than a few for each of its sets, and no link between components is lost.
 """
@@ -28,8 +28,9 @@ from webposture.session import materialize
 
 HASHES = 128
 TREES = 24
-#: Trees whose next neighbours are looked at first.
-FIRST_TREES = 4
+#: Trees, and neighbours on each side, that are looked at first.
+FIRST_TREES = 6
+FIRST_NEIGHBOURS = 4
 DEPTH = 12
 LEAST_DEPTH = 4
 #: Neighbours on each side of a set in each order.
@@ -205,11 +206,14 @@ def near_duplicates(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     nodes = materialize(nodes)
-    near = _links(texts, nodes.withColumn("component", F.col("rep")), shingle_words, percent, FIRST_TREES, 1)
+    alone = _neighbour_pairs(nodes.withColumn("component", F.col("rep")), percent, FIRST_TREES, FIRST_NEIGHBOURS)
+    seen = materialize(alone)
+    near = materialize(_holding(texts, nodes, seen, shingle_words, percent))
     known = materialize(components(near))
     placed = nodes.join(known, F.col("rep") == F.col("node"), "left")
     placed = placed.select(*nodes.columns, F.coalesce("component", "rep").alias("component"))
-    far = _links(texts, placed, shingle_words, percent, TREES, NEIGHBOURS)
+    apart = materialize(_neighbour_pairs(placed, percent, TREES, NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
+    far = materialize(_holding(texts, nodes, apart, shingle_words, percent))
     # Components, and the links between them.
     named = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far))
     nodes = nodes.select("s1", "s2", "rep").join(named, F.col("rep") == F.col("node"), "left")
@@ -222,15 +226,18 @@ def near_duplicates(
     )
 
 
-def _links(texts: DataFrame, nodes: DataFrame, shingle_words: int, percent: int, trees: int, reach: int) -> DataFrame:
-    """Pairs (a, b) of neighbours in the forest, in different components, that hold on the full sets."""
+def _neighbour_pairs(nodes: DataFrame, percent: int, trees: int, reach: int) -> DataFrame:
+    """Pairs (a, b) of neighbours in the forest that are in different components."""
     order = ["tree", "label", "rep"]
-    columns = nodes.select("rep", "n", "signature", "component")
-    pairs = (
-        columns.mapInArrow(_trees(trees), _FOREST).repartitionByRange(*order).sortWithinPartitions(*order)
+    return (
+        nodes.select("rep", "n", "signature", "component").mapInArrow(_trees(trees), _FOREST)
+        .repartitionByRange(*order).sortWithinPartitions(*order)
         .mapInArrow(_neighbours(percent, reach), "a long, b long").distinct()
     )
-    pairs = materialize(pairs)
+
+
+def _holding(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs that hold on the full sets."""
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     wanted = materialize(wanted)
     full = materialize(
@@ -243,7 +250,7 @@ def _links(texts: DataFrame, nodes: DataFrame, shingle_words: int, percent: int,
     b = full.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     found = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     found = found.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
-    return materialize(found.select("a", "b"))
+    return found.select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
