@@ -176,6 +176,8 @@ def join_url(base: Column, href: Column) -> Column:
     site = F.regexp_extract(base, r"^https?://[^/?#]*", 0)
     page = F.regexp_extract(base, r"(?s)^[^?#]*", 0)
     folder = F.regexp_extract(base, r"(?s)^https?://[^/?#]*(?:[^?#]*/)?", 0)
+    # A base without a path stands for the root.
+    folder = F.when(folder == site, F.concat(site, F.lit("/"))).otherwise(folder)
     return (
         F.when(~relative_form & ref.rlike(r"^(?i:https?):"), ref)
         .when(~relative_form & ref.rlike(_SCHEME), F.lit(None))

@@ -8,6 +8,8 @@ chunk's offset comes from the totals of the chunks before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def before(value: Column, keys: Sequence[str], combine, empty: Column) -> Column
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``rank``, 0-based within ``keys`` by ``order`` (unique), ``chunk`` and ``first``.
+    """Add ``rank``, 0-based within ``keys`` by ``order`` (unique), ``chunk`` and ``first``.  Null keys are keys like others.
 
     ``first`` is the least value of the leading order column within ``keys``.  All rows of a
     (keys, chunk) pair fit one task, and chunks follow the order.  The sorted rows are written
@@ -34,11 +36,12 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
         F.min("__at").alias("__start"), F.count("*").alias("__n"), F.min(order[0]).alias("first")
     )
     offsets = totals.select(
-        *keys, "chunk", "__start",
-        before(F.col("__n"), keys, F.sum, F.lit(0)).alias("__before"),
+        *[F.col(k).alias(f"__{k}") for k in [*keys, "chunk"]],
+        (F.col("__start") - before(F.col("__n"), keys, F.sum, F.lit(0))).alias("__zero"),
         F.min("first").over(Window.partitionBy(*keys)).alias("first"),
     )
-    ranked = placed.join(offsets, [*keys, "chunk"])
-    return ranked.withColumn("rank", F.col("__at") - F.col("__start") + F.col("__before")).drop(
-        "__at", "__start", "__before"
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("chunk") == F.col("__chunk"))
+    ranked = placed.join(offsets, same)
+    return ranked.withColumn("rank", F.col("__at") - F.col("__zero")).drop(
+        "__at", "__zero", *[f"__{k}" for k in [*keys, "chunk"]]
     )

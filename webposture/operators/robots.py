@@ -36,14 +36,14 @@ def parse_rules(content: Column) -> Column:
 def robots_rules(files: DataFrame) -> DataFrame:
     """One row per origin of ``robots_files``, its rules as one array; only 2xx content has rules.
 
-    With a ``fetched_at`` column the first fetch of an origin counts.
+    The first fetch of an origin counts, by ``fetched_at`` where there is such a column; of several at
+    that time, and without the column, the one with the least status and then content.
     """
-    if "fetched_at" in files.columns:
-        # Hashed too, so that a later join on the origin shuffles anew and can split hot origins.
-        first = files.groupBy("origin", F.xxhash64("origin")).agg(
-            F.min_by(F.struct("status", "content"), "fetched_at").alias("f")
-        )
-        files = first.select("origin", "f.status", "f.content")
+    order = [F.col("fetched_at").isNull(), F.col("fetched_at")] if "fetched_at" in files.columns else []
+    order = F.struct(*order, F.col("status").isNull(), "status", "content")
+    # Hashed too, so that a later join on the origin shuffles anew and can split hot origins.
+    first = files.groupBy("origin", F.xxhash64("origin")).agg(F.min_by(F.struct("status", "content"), order).alias("f"))
+    files = first.select("origin", "f.status", "f.content")
     served = F.when(F.col("status").between(200, 299), F.col("content"))
     return files.select("origin", F.coalesce(parse_rules(served), F.array()).alias("rules"))
 

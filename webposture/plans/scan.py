@@ -49,8 +49,16 @@ def target_domains(targets: DataFrame) -> DataFrame:
 
 
 def gated_responses(data: Collected, options: ScanOptions) -> DataFrame:
+    """The responses with normalised URLs, without fragments; those without an http(s) URL are in ``unreadable_responses``."""
     gated = pages.size_gate(data.responses, options.max_response_bytes)
-    return gated.withColumn("url", U.strip_fragment(F.col("url")))
+    parsed = U.normalized(gated, "url", "__url")
+    return parsed.withColumn("url", U.strip_fragment(F.col("__url"))).drop("__url")
+
+
+def unreadable_responses(responses: DataFrame) -> DataFrame:
+    """(scan_id, url, n): responses that no scan can use, since their URL is no valid http(s) URL."""
+    parsed = U.with_url_parts(responses.select("scan_id", "url"), "url")
+    return parsed.filter("parts IS NULL").groupBy("scan_id", "url").agg(F.count("*").alias("n"))
 
 
 def crawl(data: Collected, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +74,9 @@ def crawl(data: Collected, options: ScanOptions = ScanOptions()) -> tuple[DataFr
     )
     respect = data.robots_files is not None and not options.ignore_robots
     rule_table = robots.robots_rules(data.robots_files) if respect else None
-    found = links.resolve_links(links.links_of(fetches))
-    if respect:
-        readable = robots.robots_filter(found.withColumnRenamed("src_url", "url"), rule_table)
-        found = readable.withColumnRenamed("url", "src_url")
+    # Decided per page, before its links are rows.
+    readable = robots.robots_filter(fetches, rule_table) if respect else fetches
+    found = links.resolve_links(links.links_of(readable))
     start = frontier.seeds(data.targets).unionByName(frontier.seed_probes(data.targets))
     reached = frontier.crawl_frontier(start, found, options.depth, options.cross_domain)
     plan = frontier.crawl_plan(reached, rule_table) if respect else reached.withColumn("allowed", F.lit(True))
@@ -93,7 +100,8 @@ def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanRepo
         # Written first, so that the join with the scans can split a domain with very many scans.
         found = materialize(ct.ct_subdomains(data.ct_entries, options.max_subdomains))
         findings.append(report.for_scans(found, domains))
-    table = report.all_findings(*findings)
+    # Written once: the summary and every writer read this narrow table, not the bodies.
+    table = materialize(report.all_findings(*findings))
     log = report.crawl_log(plan, fetches)
     return ScanReport(
         report.scan_info(frontier.normalize_targets(data.targets), log, plan),
