@@ -55,6 +55,17 @@ def gated_responses(data: Collected, options: ScanOptions) -> DataFrame:
     return parsed.withColumn("url", U.strip_fragment(F.col("__url"))).drop("__url")
 
 
+def first_fetches(fetches: DataFrame) -> DataFrame:
+    """One row per page: the first by ``fetched_at``; of several at that time the one without error, then the smallest.
+
+    Only for narrow tables: the rows are shuffled.
+    """
+    kept = [c for c in fetches.columns if c not in ("scan_id", "url")]
+    order = F.struct(F.col("fetched_at").isNull(), "fetched_at", F.col("error").isNotNull(), "error", "bytes")
+    first = fetches.groupBy("scan_id", "url").agg(F.min_by(F.struct(*kept), order).alias("__first"))
+    return first.select("scan_id", "url", "__first.*").select(*fetches.columns)
+
+
 def unreadable_responses(responses: DataFrame) -> DataFrame:
     """(scan_id, url, n): responses that no scan can use, since their URL is no valid http(s) URL."""
     parsed = U.with_url_parts(responses.select("scan_id", "url"), "url")
@@ -70,7 +81,7 @@ def crawl(data: Collected, options: ScanOptions = ScanOptions()) -> tuple[DataFr
     """
     gated = gated_responses(data, options)
     fetches = materialize(
-        links.page_hrefs(gated).select("scan_id", "url", "error", "bytes", "fetched_at", "hrefs")
+        first_fetches(links.page_hrefs(gated).select("scan_id", "url", "error", "bytes", "fetched_at", "hrefs"))
     )
     respect = data.robots_files is not None and not options.ignore_robots
     rule_table = robots.robots_rules(data.robots_files) if respect else None
@@ -111,10 +122,10 @@ def run_scans(data: Collected, options: ScanOptions = ScanOptions()) -> ScanRepo
 
 
 def scan_visited(responses: DataFrame, visited: DataFrame) -> DataFrame:
-    """Page findings of the visited responses.
+    """Page findings of the visited responses; what repeated responses of a page have in common counts once.
 
     Findings are made first and joined afterwards: they are few and narrow, so no body is ever
     shuffled.
     """
     found = pages.scan_page(responses.filter(F.col("error").isNull()))
-    return found.join(visited, ["scan_id", "url"], "left_semi")
+    return found.join(visited, ["scan_id", "url"], "left_semi").distinct()
