@@ -86,6 +86,38 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
+def test_sole_links_in_a_crowd(spark):
+    """A group of texts that are mostly 0.75 similar, and pairs of 0.8 or more that nothing else connects."""
+    import numpy as np
+
+    def text(d, also=()):
+        # Two texts have at most two of their seven own words in the same place.
+        a, b, c = d % 29, d // 29 % 29, d // 841
+        words = [f"b{k}" for k in range(203)]
+        for r in range(7):
+            words[29 * r + (a + b * r + c * r * r) % 29] = f"own{d}x{r}"
+        for k in also:
+            words[k] = f"pair{d}x{k}"
+        return " ".join(words)
+
+    rows = [(d, text(d)) for d in range(4000)]
+    rows += [(10_000 + d, text(d, range(d % 20, 200, 20))) for d in range(0, 4000, 100)]
+    numbers, holds = {}, np.zeros((len(rows), 202 + 203 * 80), np.float32)
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    seen = Counter(s for x in sets for s in x)
+    for k, x in enumerate(sets):
+        for s in x:
+            if seen[s] > 1:
+                holds[k, numbers.setdefault(s, len(numbers))] = 1
+    size, common = np.array([len(x) for x in sets]), (holds @ holds.T).astype(int)
+    links = np.argwhere(np.triu(common * 100 >= (size[:, None] + size - common) * 80, 1))
+    links = [(rows[a][0], rows[b][0]) for a, b in links]
+    component = component_of([d for d, _ in rows], links)
+    assert len(links) >= 40
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == component
+
+
 def test_repeated_windows(docs, texts):
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
     earliest = {}

@@ -2,13 +2,15 @@
 
 A document's shingle set has ``HASHES`` MinHash values.  Every tree of the forest is an order of the distinct
 sets by a label, a sequence of ``DEPTH`` of these values.  In that order a set's candidates are its nearest
-neighbours as long as they share a prefix of at least ``LEAST_DEPTH`` values with it: where few sets share a
-prefix that reaches all of them, and in dense regions only those with a longer common prefix, so the depth follows
-the region.  Candidates whose signatures agree enough are confirmed on the full sets.
-
-The forest is searched twice.  The nearest neighbours in a few trees connect most of a group; then all neighbours in all trees
-are looked at, and those that are not connected yet are candidates.  So a large group makes no more candidates
-than a few for each of its sets, and no link between components is lost.
+neighbours as long as they share a prefix of at least ``LEAST_DEPTH`` values with it.  Candidates whose signatures
+agree enough are confirmed on the full sets.
+
+The sets that share such a prefix are a region.  The search has three steps.  The nearest neighbours in a few trees connect
+most of a group.  Then, in all trees, all pairs of a region that the neighbours reach are looked at, and those that are
+not connected yet are candidates.  A region that is larger is crowded: its sets are dealt into blocks, and a task that
+has two blocks compares all their sets, full ones too, and returns no more links than connect its components.  So a
+large group makes no more rows than a few for each of its sets and blocks, and every pair of a region is compared
+that no other link connects.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webposture.llm.components import components
-from webposture.llm.tables import fresh
+from webposture.llm.tables import fresh, small
 from webposture.llm.text import Words, chunks, counted, mix, rolling
+from webposture.operators.ordering import with_rank
 from webposture.session import materialize
 
 HASHES = 128
@@ -38,6 +41,8 @@ NEIGHBOURS = 32
 #: Candidates are checked if their signatures agree in the share asked for less this.  Of pairs at exactly that similarity
 #: 2 in 10,000 agree in fewer places, of pairs a little above hardly any.
 SLACK = 0.12
+#: Sets of a block of a crowded region, and shingles of all its sets.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 
 _rng = np.random.default_rng(20_24)
 _FACTOR = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -145,9 +150,9 @@ def _trees(trees: int):
     return grow
 
 
-def _neighbours(percent: int, reach: int):
+def _neighbours(percent: int, reach: int, crowded: bool):
     """An Arrow function over sets in the order of (tree, label): pairs of neighbours in different components, up to
-    ``reach`` places apart, whose signatures agree."""
+    ``reach`` places apart, whose signatures agree.  If ``crowded`` is not set, without those of crowded regions."""
     share = percent / 100
     # Values are known by 4 of their bits; that others agree by chance only adds candidates.
     least = int(np.ceil((share - SLACK) * HASHES))
@@ -167,12 +172,17 @@ def _neighbours(percent: int, reach: int):
             label = np.frombuffer(b"".join(table["label"].to_pylist()), ">u2").reshape(len(tree), DEPTH)
             short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(tree), HASHES // 2)
             rep, n, component = table["rep"].to_numpy(), table["n"].to_numpy(), table["component"].to_numpy()
+            # Only what of a region is in this table is counted, so one may seem smaller than it is, never larger.
+            begins = np.r_[True, (tree[1:] != tree[:-1]) | (label[1:, :LEAST_DEPTH] != label[:-1, :LEAST_DEPTH]).any(1)]
+            size = np.bincount(np.cumsum(begins) - 1)[np.cumsum(begins) - 1]
             for step in range(1, min(reach, len(tree) - 1) + 1):
                 i = np.arange(max(0, carried - step), len(tree) - step)
                 j = i + step
                 near = (tree[i] == tree[j]) & (label[i, :LEAST_DEPTH] == label[j, :LEAST_DEPTH]).all(1)
                 # Sets of very different size cannot be similar.
                 near &= component[i] != component[j]
+                if not crowded:
+                    near &= size[i] <= NEIGHBOURS + 1
                 near &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
                 i, j = i[near], j[near]
                 if not len(i):
@@ -206,14 +216,18 @@ def near_duplicates(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     nodes = materialize(nodes)
-    alone = _neighbour_pairs(nodes.withColumn("component", F.col("rep")), percent, FIRST_TREES, FIRST_NEIGHBOURS)
+    alone = _neighbour_pairs(nodes.withColumn("component", F.col("rep")), percent, FIRST_TREES, FIRST_NEIGHBOURS, True)
     seen = materialize(alone)
     near = materialize(_holding(texts, nodes, seen, shingle_words, percent))
     known = materialize(components(near))
     placed = nodes.join(known, F.col("rep") == F.col("node"), "left")
     placed = placed.select(*nodes.columns, F.coalesce("component", "rep").alias("component"))
-    apart = materialize(_neighbour_pairs(placed, percent, TREES, NEIGHBOURS).join(seen, ["a", "b"], "left_anti"))
+    placed = materialize(placed)
+    apart = materialize(_neighbour_pairs(placed, percent, TREES, NEIGHBOURS, False).join(seen, ["a", "b"], "left_anti"))
     far = materialize(_holding(texts, nodes, apart, shingle_words, percent))
+    crowd = _crowded_links(texts, placed, shingle_words, percent)
+    if crowd is not None:
+        far = far.union(crowd)
     # Components, and the links between them.
     named = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far))
     nodes = nodes.select("s1", "s2", "rep").join(named, F.col("rep") == F.col("node"), "left")
@@ -226,26 +240,110 @@ def near_duplicates(
     )
 
 
-def _neighbour_pairs(nodes: DataFrame, percent: int, trees: int, reach: int) -> DataFrame:
+def _forest(nodes: DataFrame, trees: int) -> DataFrame:
+    return nodes.select("rep", "n", "signature", "component").mapInArrow(_trees(trees), _FOREST)
+
+
+def _neighbour_pairs(nodes: DataFrame, percent: int, trees: int, reach: int, crowded: bool) -> DataFrame:
     """Pairs (a, b) of neighbours in the forest that are in different components."""
     order = ["tree", "label", "rep"]
     return (
-        nodes.select("rep", "n", "signature", "component").mapInArrow(_trees(trees), _FOREST)
-        .repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_neighbours(percent, reach), "a long, b long").distinct()
+        _forest(nodes, trees).repartitionByRange(*order).sortWithinPartitions(*order)
+        .mapInArrow(_neighbours(percent, reach, crowded), "a long, b long").distinct()
     )
 
 
-def _holding(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs that hold on the full sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = materialize(wanted)
-    full = materialize(
+def _cell_links(percent: int):
+    """An Arrow function over the sets of one or two blocks: links (a, b) that connect what is similar in different components.
+
+    Of two blocks, each set of the first is compared with all of the second.
+    """
+    least = int(np.ceil((percent / 100 - SLACK) * HASHES))
+
+    def search(cell: pa.Table) -> pa.Table:
+        cell = cell.select(["block", "rep", "n", "component", "short", "shingles"]).sort_by("block").combine_chunks()
+        block, rep, n = (cell[c].to_numpy() for c in ("block", "rep", "n"))
+        component = np.unique(cell["component"].to_numpy(), return_inverse=True)[1]
+        short = np.frombuffer(b"".join(cell["short"].to_pylist()), np.uint8).reshape(len(rep), HASHES // 2)
+        shingles = np.unique(np.concatenate([c.flatten().to_numpy() for c in cell["shingles"].chunks]), return_inverse=True)[1]
+        starts = np.cumsum(n) - n
+        mark = np.zeros(shingles.max(initial=0) + 1, bool)
+        second = int(np.searchsorted(block, block[0], "right"))
+        a, b = [], []
+        for i in range(second if second < len(rep) else len(rep) - 1):
+            later = max(second, i + 1) if second < len(rep) else i + 1
+            j = later + np.flatnonzero(component[later:] != component[i])
+            j = j[np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent]
+            j = j[_EQUAL[short[j] ^ short[i]].sum(1) >= least]
+            if not len(j):
+                continue
+            own = shingles[starts[i] : starts[i] + n[i]]
+            mark[own] = True
+            ends = np.cumsum(n[j])
+            at = np.arange(ends[-1]) + np.repeat(starts[j] - (ends - n[j]), n[j])
+            common = np.add.reduceat(mark[shingles[at]].astype(np.int64), ends - n[j])
+            mark[own] = False
+            j = j[common * 100 >= (n[i] + n[j] - common) * percent]
+            met, first = np.unique(component[j], return_index=True)
+            a.extend(rep[[i] * len(met)])
+            b.extend(rep[j[first]])
+            component[np.isin(component, met)] = component[i]
+        low, high = np.minimum(np.array(a, np.int64), np.array(b, np.int64)), np.maximum(np.array(a, np.int64), np.array(b, np.int64))
+        return pa.table({"a": low, "b": high})
+
+    return search
+
+
+def _crowded_links(texts: DataFrame, nodes: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that connect what is similar in crowded regions; None if there are no such regions.
+
+    Regions that share sets make up a group.  Its sets, in the order of their first regions, are dealt into blocks, and blocks
+    that share a region meet in a cell.
+    """
+    forest = _forest(nodes, TREES).withColumn("region", F.expr(f"substring(label, 1, {2 * LEAST_DEPTH})"))
+    regions = materialize(
+        forest.groupBy("tree", "region").agg(
+            F.count("*").alias("sets"), F.min("rep").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")
+        ).where((F.col("sets") > NEIGHBOURS + 1) & (F.col("low") < F.col("high"))).select("tree", "region", "first")
+    )
+    if not regions.limit(1).count():
+        return None
+    places = materialize(
+        forest.join(small(regions), ["tree", "region"])
+        .select("rep", "n", "component", "short", F.concat(F.format_string("%03d", "tree"), F.hex("region")).alias("region"), "first")
+    )
+    groups = components(places.select(F.col("rep").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "family")
+    sets = places.groupBy("rep").agg(
+        F.min("region").alias("region"), F.first("n").alias("n"), F.first("component").alias("component"), F.first("short").alias("short")
+    ).join(groups, F.col("rep") == F.col("node")).drop("node")
+    sets = with_rank(sets, ["family"], ["region", "rep"]).drop("chunk", "first")
+    most = sets.groupBy("family").agg(F.max("n").alias("most"))
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
+    sets = materialize(sets.join(most, "family").withColumn("block", F.floor(F.col("rank") / room)).drop("region", "rank", "most"))
+    blocks = materialize(places.select("rep", "region").join(sets.select("rep", "family", "block"), "rep").drop("rep").distinct())
+    other = blocks.select("region", F.col("block").alias("q"))
+    cells = blocks.withColumnRenamed("block", "p").join(other, "region").where("p <= q").select("family", "p", "q").distinct()
+    cells = materialize(cells)
+    sides = cells.withColumn("block", F.col("p")).union(cells.where("p < q").withColumn("block", F.col("q")))
+    full = _full(texts, nodes, sets.select("rep"), shingle_words).select("rep", "shingles")
+    found = sets.join(full, "rep").join(sides, ["family", "block"]).groupBy("family", "p", "q")
+    return materialize(found.applyInArrow(_cell_links(percent), "a long, b long").distinct())
+
+
+def _full(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """The full sets of the nodes wanted: rep, n, shingles."""
+    return materialize(
         texts.join(wanted, F.col("id") == F.col("rep"), "left_semi")
         .mapInArrow(_read(shingle_words, "shingles"), "id long, n long, s1 long, s2 long, shingles array<long>")
         .join(nodes.select("s1", "s2", "rep"), ["s1", "s2"]).where("id = rep").select("rep", "n", "shingles")
         .dropDuplicates(["rep"])
     )
+
+
+def _holding(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs that hold on the full sets."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    full = _full(texts, nodes, materialize(wanted), shingle_words)
     a = full.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = full.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     found = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
