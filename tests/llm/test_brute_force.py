@@ -118,6 +118,14 @@ def test_sole_links_in_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
+def test_a_pair_whose_signatures_agree_little(spark):
+    """0.8 similar, but 42 of 128 signature values differ."""
+    words = [f"s5960w{k}" for k in range(136)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:121], *[f"s5960o{k}" for k in range(15)]]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
+
+
 def test_repeated_windows(docs, texts):
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
     earliest = {}

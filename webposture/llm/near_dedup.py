@@ -39,8 +39,10 @@ LEAST_DEPTH = 4
 #: Neighbours on each side of a set in each order.
 NEIGHBOURS = 32
 #: Candidates are checked if their signatures agree in the share asked for less this.  Of pairs at exactly that similarity
-#: 2 in 10,000 agree in fewer places, of pairs a little above hardly any.
-SLACK = 0.12
+#: 1.4 in a million agree in fewer places.
+SLACK = 0.16
+#: The same for the first search.  What it leaves out the later ones still find.
+FIRST_SLACK = 0.12
 #: Sets of a block of a crowded region, and shingles of all its sets.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 
@@ -150,12 +152,12 @@ def _trees(trees: int):
     return grow
 
 
-def _neighbours(percent: int, reach: int, crowded: bool):
+def _neighbours(percent: int, reach: int, slack: float, crowded: bool):
     """An Arrow function over sets in the order of (tree, label): pairs of neighbours in different components, up to
     ``reach`` places apart, whose signatures agree.  If ``crowded`` is not set, without those of crowded regions."""
     share = percent / 100
     # Values are known by 4 of their bits; that others agree by chance only adds candidates.
-    least = int(np.ceil((share - SLACK) * HASHES))
+    least = int(np.ceil((share - slack) * HASHES))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -216,14 +218,14 @@ def near_duplicates(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
     nodes = materialize(nodes)
-    alone = _neighbour_pairs(nodes.withColumn("component", F.col("rep")), percent, FIRST_TREES, FIRST_NEIGHBOURS, True)
+    alone = _neighbour_pairs(nodes.withColumn("component", F.col("rep")), percent, FIRST_TREES, FIRST_NEIGHBOURS, FIRST_SLACK, True)
     seen = materialize(alone)
     near = materialize(_holding(texts, nodes, seen, shingle_words, percent))
     known = materialize(components(near))
     placed = nodes.join(known, F.col("rep") == F.col("node"), "left")
     placed = placed.select(*nodes.columns, F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed)
-    apart = materialize(_neighbour_pairs(placed, percent, TREES, NEIGHBOURS, False).join(seen, ["a", "b"], "left_anti"))
+    apart = materialize(_neighbour_pairs(placed, percent, TREES, NEIGHBOURS, SLACK, False).join(seen, ["a", "b"], "left_anti"))
     far = materialize(_holding(texts, nodes, apart, shingle_words, percent))
     crowd = _crowded_links(texts, placed, shingle_words, percent)
     if crowd is not None:
@@ -244,12 +246,12 @@ def _forest(nodes: DataFrame, trees: int) -> DataFrame:
     return nodes.select("rep", "n", "signature", "component").mapInArrow(_trees(trees), _FOREST)
 
 
-def _neighbour_pairs(nodes: DataFrame, percent: int, trees: int, reach: int, crowded: bool) -> DataFrame:
+def _neighbour_pairs(nodes: DataFrame, percent: int, trees: int, reach: int, slack: float, crowded: bool) -> DataFrame:
     """Pairs (a, b) of neighbours in the forest that are in different components."""
     order = ["tree", "label", "rep"]
     return (
         _forest(nodes, trees).repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_neighbours(percent, reach, crowded), "a long, b long").distinct()
+        .mapInArrow(_neighbours(percent, reach, slack, crowded), "a long, b long").distinct()
     )
 
 
