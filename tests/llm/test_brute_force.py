@@ -191,6 +191,45 @@ def test_language_model(docs, texts):
     assert base_scored < scored < 0  # contexts tell more than word counts
 
 
+def test_rare_contexts_count(spark, monkeypatch):
+    """Scores against a plain model, whatever part of the trie is in memory."""
+    train = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "The end"]
+    held = ["the cat and the dog", "zebra", "", "a mat on the dog sat"]
+    stream = lambda t: "\n" * 5 + " ".join(lower(t).split()) + "\n"
+    counts = [Counter() for _ in range(6)]
+    for t in map(stream, train):
+        for i in range(5, len(t)):
+            for k in range(6):
+                counts[k][t[i - k : i], t[i]] += 1
+    after = [{} for _ in range(6)]
+    for k in range(6):
+        for (c, b), n in counts[k].items():
+            after[k].setdefault(c, {})[b] = n
+
+    def p(k, c, b):
+        return after[k][c][b] / (sum(after[k][c].values()) + len(after[k][c]))
+
+    def log(t, i):
+        out = 0.0
+        for k in range(5, -1, -1):
+            c = t[i - k : i]
+            if c in after[k]:
+                if t[i] in after[k][c]:
+                    return out + math.log10(p(k, c, t[i]))
+                known = after[k][c]
+                taken = sum(p(k - 1, c[1:], b) for b in known) if k else len(known) / 256
+                out += math.log10(len(known) / (sum(known.values()) + len(known)) / (1 - taken))
+        return out - math.log10(256)
+
+    rows = list(enumerate(train + held))
+    want = {d: sum(log(stream(t), i) for i in range(5, len(stream(t)))) for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1_000_000, 20, 0):
+        monkeypatch.setattr(lm_score, "MOST_NODES", most)
+        got = lm_score.scores(docs, lm_score.train(docs.where(f"doc_id < {len(train)}"))).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-5)
+
+
 def test_token_files(docs, texts):
     from tokenizers import Tokenizer
 

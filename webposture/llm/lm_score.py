@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,7 @@ from webposture.session import materialize
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Nodes of the trie at each depth.  Counts are taken of everything; beyond this the least frequent nodes are left out
-#: of the model that tasks hold in memory (some 24 bytes a node), and their bytes escape to shorter contexts.
+#: Nodes of the trie at each depth that tasks hold in memory (some 24 bytes a node); all others are joined.
 MOST_NODES = 1_000_000
 #: Words whose counts tasks hold in memory; the counts of all others are joined.
 MOST_WORDS = 500_000
@@ -149,56 +149,41 @@ class Lookup:
 
 @dataclass
 class Trie:
-    """Log10 code lengths: by depth, of (context, byte) and of the escape from a context."""
+    """Log10 code lengths of the most frequent nodes: by depth, of (context, byte) and of the escape from a context."""
 
     coded: list[Lookup]
     escapes: list[Lookup]
+    coded_whole: list[bool]  #: whether there are no other nodes
+    escapes_whole: list[bool]
 
-    @classmethod
-    def build(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """``levels[k]``: the (context of k bytes, byte) numbers in order, and their counts."""
-        coded, escapes = [], []
-        below: tuple[np.ndarray, np.ndarray] | None = None  # of one byte less: numbers, probabilities
-        for k, (keys, counts) in enumerate(levels):
-            context = keys >> np.uint64(8)
-            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.empty(0, np.int64)
-            of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
-            n = np.add.reduceat(counts, starts).astype(float) if len(keys) else np.empty(0)
-            q = np.diff(starts, append=len(keys)).astype(float)
-            p = counts / (n + q)[of] if len(keys) else np.empty(0)
-            if below is None:
-                taken = q / 256  # all bytes are alike below the empty context
-            else:
-                shorter = keys & np.uint64((1 << 8 * k) - 1)
-                at = np.minimum(np.searchsorted(below[0], shorter), max(0, len(below[0]) - 1))
-                known = below[0][at] == shorter if len(below[0]) else np.zeros(len(keys), bool)
-                taken = np.add.reduceat(np.where(known, below[1][at], 0.0), starts) if len(keys) else q
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.log10(q / (n + q)) - np.log10(np.maximum(1 - taken, 1e-12))
-            coded.append(Lookup(keys, np.log10(p).astype(np.float32)))
-            escapes.append(Lookup(context[starts], escape.astype(np.float32)))
-            below = keys, p
-        return cls(coded, escapes)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of each byte after its context."""
-        out = np.zeros(len(keys))
+    def score(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability of each byte after its context, and which of them take nodes that are not here; these are 0."""
+        out, other = np.zeros(len(keys)), np.zeros(len(keys), bool)
         left = np.arange(len(keys))
         for k in range(len(self.coded) - 1, -1, -1):
-            gram = keys[left] & np.uint64((1 << 8 * (k + 1)) - 1)
-            found, value = self.coded[k].get(gram)
+            found, value = self.coded[k].get(keys[left] & np.uint64((1 << 8 * (k + 1)) - 1))
             out[left] += value
             left = left[~found]
+            if not self.coded_whole[k]:
+                other[left] = True
+                left = left[:0]
             if not len(left):
-                return out
-            out[left] += self.escapes[k].get(keys[left] >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))[1]
+                break
+            found, value = self.escapes[k].get(keys[left] >> np.uint64(8) & np.uint64((1 << 8 * k) - 1))
+            out[left] += value
+            if not self.escapes_whole[k]:
+                other[left[~found]] = True
+                left = left[found]
         out[left] -= np.log10(256)
-        return out
+        out[other] = 0
+        return out, other
 
 
 @dataclass
 class Model:
     trie: Trie
+    nodes: list[DataFrame]  #: by depth, all of the trie: key, code
+    contexts: list[DataFrame]  #: context, escape
     head: Lookup  #: counts of the most frequent words
     words: DataFrame  #: counts of all others: key, n
     train_tokens: int
@@ -214,24 +199,60 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     )
     counts = materialize(counts)
     bottom = counts.where(F.col("kind") == GRAM).select("key", "n")
-    levels, floor = [], None
-    for k in range(ORDER, -1, -1):
-        level = bottom.select(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key"), "n")
-        level = level.groupBy("key").agg(F.sum("n").alias("n"))
-        # A node's parent is at least as frequent, so the trie stays whole if no floor is above the one below it.
-        floor = min(floor or 2**62, count_floor(level, "n", MOST_NODES))
-        found = level.where(F.col("n") >= floor).toArrow()
-        keys = found["key"].to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        levels.append((keys[order], found["n"].to_numpy()[order]))
-    trie = Trie.build(levels[::-1])
+    levels = [bottom]
+    for k in range(ORDER - 1, -1, -1):
+        level = levels[-1].select(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key"), "n")
+        levels.append(materialize(level.groupBy("key").agg(F.sum("n").alias("n"))))
+    trie, nodes, contexts = Trie([], [], [], []), [], []
+    for k, level in enumerate(levels[::-1]):
+        level = level.withColumn("context", F.shiftright("key", 8))
+        if k:
+            below = nodes[-1].select(F.col("key").alias("shorter"), F.col("p").alias("taken"))
+            level = level.withColumn("shorter", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(below, "shorter").drop("shorter")
+        else:
+            level = level.withColumn("taken", F.lit(1 / 256))  # all bytes are alike below the empty context
+        own = materialize(level.groupBy("context").agg(
+            F.sum("n").alias("total"), F.count("*").cast("double").alias("q"), F.sum("taken").alias("taken")
+        ))
+        p = F.col("n") / (F.col("total") + F.col("q"))
+        nodes.append(materialize(level.drop("taken").join(own.drop("taken"), "context").select("key", "n", p.alias("p"), F.log10(p).alias("code"))))
+        escape = F.log10(F.col("q") / (F.col("total") + F.col("q"))) - F.log10(F.greatest(1 - F.col("taken"), F.lit(1e-12)))
+        contexts.append(materialize(own.select("context", "total", escape.alias("escape"))))
+        head, whole = _head(nodes[-1], "key", "n", "code")
+        trie.coded.append(head)
+        trie.coded_whole.append(whole)
+        head, whole = _head(contexts[-1], "context", "total", "escape")
+        trie.escapes.append(head)
+        trie.escapes_whole.append(whole)
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = counts.where(F.col("kind") == 2).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     floor = count_floor(words, "n", MOST_WORDS)
     head = words.where(F.col("n") >= floor).toArrow()
     head = Lookup(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy().astype(np.float32))
-    return Model(trie, head, words.where(F.col("n") < floor), total["n"] + ends, total["v"] + (ends > 0), ends)
+    return Model(trie, nodes, contexts, head, words.where(F.col("n") < floor), total["n"] + ends, total["v"] + (ends > 0), ends)
+
+
+def _head(table: DataFrame, key: str, count: str, value: str) -> tuple[Lookup, bool]:
+    """The most frequent rows in memory, and whether these are all."""
+    floor = count_floor(table, count, MOST_NODES)
+    found = table.where(F.col(count) >= floor).select(key, value).toArrow()
+    head = Lookup(found[key].to_numpy().astype(np.uint64), found[value].to_numpy().astype(np.float32))
+    return head, not table.where(F.col(count) < floor).limit(1).count()
+
+
+def _joined_scores(keys: DataFrame, model: Model) -> DataFrame:
+    """``key`` and ``value``, the log10 probability of its byte, by joins with all of the trie."""
+    left, done = keys.select("key", F.lit(0.0).alias("value")), []
+    for k in range(ORDER, -1, -1):
+        nodes = model.nodes[k].select(F.col("key").alias("node"), "code")
+        met = materialize(left.join(nodes, F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1) == F.col("node"), "left").drop("node"))
+        done.append(met.where("code IS NOT NULL").select("key", (F.col("value") + F.col("code")).alias("value")))
+        context = F.shiftright("key", 8).bitwiseAND((1 << 8 * k) - 1) == F.col("context")
+        left = met.where("code IS NULL").join(model.contexts[k].select("context", "escape"), context, "left")
+        left = left.select("key", (F.col("value") + F.coalesce("escape", F.lit(0.0))).alias("value"))
+    done.append(left.select("key", (F.col("value") - float(np.log10(256))).alias("value")))
+    return reduce(DataFrame.union, done)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +274,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for words in chunks(batch.column(1)):
                 keys, bounds = grams(*byte_stream(words))
                 # Every document has an end, so none is empty.
-                total = np.add.reduceat(trie.score(keys), bounds[:-1])
+                logs, other = trie.score(keys)
+                total, other = np.add.reduceat(logs, bounds[:-1]), np.flatnonzero(other)
+                among = np.searchsorted(other, bounds)
                 hashes = words.hashes(lower=True)
                 found, n = head.get(hashes)
                 logs = np.where(found, np.log10((n.astype(float) + 0.1) / bottom), 0.0)
@@ -265,13 +288,14 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         pa.array(np.bincount(words.doc, found, words.n_docs).astype(np.int64)),
                         pa.array(np.bincount(words.doc, logs, words.n_docs)),
                         pa.LargeListArray.from_arrays(where, pa.array(hashes[tail].view(np.int64))).cast(pa.list_(pa.int64())),
+                        pa.LargeListArray.from_arrays(among, pa.array(keys[other].view(np.int64))).cast(pa.list_(pa.int64())),
                     ],
-                    names=["id", "score", "n", "known", "base", "tail"],
+                    names=["id", "score", "n", "known", "base", "tail", "grams"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        score, f"id {kind}, score double, n long, known long, base double, tail array<long>"
+        score, f"id {kind}, score double, n long, known long, base double, tail array<long>, grams array<long>"
     )
     # Written with a number each: rows may share an id.
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -280,12 +304,18 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     tail = tail.join(rest, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * _log(count, bottom)).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("tail_known")
     )
-    joined = rows.drop("tail").join(tail, "row", "left")
+    joined = rows.drop("tail", "grams").join(tail, "row", "left").withColumn("more", F.lit(0.0))
+    if not all(model.trie.coded_whole + model.trie.escapes_whole):
+        unknown = materialize(rows.select("row", F.explode("grams").alias("key")).groupBy("key", "row").agg(F.count("*").alias("times")))
+        values = materialize(_joined_scores(unknown.select("key").distinct(), model))
+        more = unknown.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        joined = joined.drop("more").join(more, "row", "left")
     return joined.select(
         F.col("id").alias("doc_id"), (F.col("n") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + int(model.ends > 0)).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + _log(F.lit(model.ends), bottom)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + _log(F.lit(model.ends), bottom)).alias("base_score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
