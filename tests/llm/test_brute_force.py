@@ -11,7 +11,7 @@ from itertools import combinations
 
 import pytest
 
-from webposture.llm import line_dedup, lm_score, near_dedup, queries, substring_dedup, token_store
+from webposture.llm import licenses, line_dedup, lm_score, near_dedup, queries, substring_dedup, token_store
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -191,6 +191,41 @@ def test_language_model(docs, texts):
     assert base_scored < scored < 0  # contexts tell more than word counts
 
 
+def test_license_windows(spark):
+    """Every window that holds 80 % of a template, by comparing all of them."""
+    def shingled(words, size):
+        return [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
+
+    def split(text):
+        # What follows a word up to a space counts as part of it.
+        return [w.strip() for w in re.findall(r"[a-z0-9]+[^a-z0-9]*", lower(text))]
+
+    templates = {n: split(t) for n, t in licenses.TEMPLATES.items()}
+    rows = []
+    for template in licenses.TEMPLATES.values():
+        words = template.split()
+        for k in range(300):
+            # Every third one lacks the end, as far as the rest is still a match.
+            gone = int(0.2 * (len(words) - 4)) if k % 3 == 2 else 0
+            lead = [f"lead{len(rows)}x{j}" for j in range(k % 61)]
+            rows.append((len(rows), " ".join([*lead, *words[: len(words) - gone], *(f"tail{len(rows)}x{j}" for j in range(300))])))
+    want = {}
+    for d, text in rows:
+        found = shingled(split(text), 5)
+        for name, words in templates.items():
+            template = shingled(words, 5)
+            unit = 4
+            while unit < len(template):
+                unit *= 2
+            held = [len(set(found[h : h + 3 * unit]) & set(template)) / len(set(template)) for h in range(0, len(found), unit)]
+            n = sum(share >= 0.8 for share in held)
+            if n:
+                want[d, name] = n
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(want) > 3000
+    assert {(r.doc_id, r.license): r.matches for r in got} == want
+
+
 def test_rare_contexts_count(spark, monkeypatch):
     """Scores against a plain model, whatever part of the trie is in memory."""
     train = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "The end"]

@@ -2,13 +2,15 @@
 
 Windows come in sizes that double.  A template is looked up in the windows of its own size class: a window is three
 blocks long and the next one starts a block later, where a block holds the template, so one window
-holds all of a match.  If a window holds 80 % of a template's shingles, its similarity with the template is more
-than 0.2, and with one row per band all ``BANDS`` bands miss with a probability below (1 - 0.2) ** 48 = 2e-5.
+holds all of a match.  A window that holds 80 % of a template's shingles has a least similarity with the template, which
+follows from the template's size and the window's.  With one row per band, a template is looked up in so many bands that all
+miss such a window with a probability below ``MISSED``; one that would take more than ``BANDS`` is looked up by its shingles.
 What the bands retrieve is confirmed exactly: the share of the template's distinct shingles that the window holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -22,7 +24,9 @@ from webposture.llm.text import Words, chunks, mix, rolling, split
 
 #: Words of a shingle; a shorter template is its own shingle.
 SHINGLE = 5
-BANDS = 48
+BANDS = 96
+#: Probability that a window that holds a template is not looked at.
+MISSED = 2e-5
 #: Share of a template's shingles that a match holds.
 CONTAINED = 0.8
 #: Shingles of the smallest block.
@@ -76,6 +80,13 @@ def _narrow(shingles: np.ndarray) -> np.ndarray:
     return (mix(shingles) >> np.uint64(32)).astype(np.uint32)
 
 
+def _bands_for(shingles: int, window: int) -> int:
+    """Bands after which a window that holds a template of so many shingles is missed with a probability below ``MISSED``."""
+    held = math.ceil(CONTAINED * shingles - 1e-9)
+    similarity = held / (window + shingles - held)
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log1p(-similarity))
+
+
 @dataclass
 class Index:
     """Templates by size class (blocks of ``BLOCK << class`` shingles) and their band values."""
@@ -86,10 +97,11 @@ class Index:
     words: list[int]
     classes: dict[tuple[int, int], list[int]]  #: by (words of a shingle, class)
     bands: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]]  #: per band: values in order, their templates
+    direct: dict[tuple[int, int], list[int]]  #: templates that are looked up by their shingles
 
     @classmethod
     def build(cls, templates: Mapping[str, str]) -> Index:
-        out = cls([], [], [], [], {}, {})
+        out = cls([], [], [], [], {}, {}, {})
         for name, text in templates.items():
             data = np.frombuffer(text.encode(), np.uint8)
             hashes = split(data, np.array([0, len(data)]), 0, _BREAK).hashes(lower=True)
@@ -104,8 +116,11 @@ class Index:
             out.size.append(size)
             out.words.append(len(hashes))
         for key, members in out.classes.items():
+            needed = {t: _bands_for(len(out.shingles[t]), 3 * (BLOCK << key[1])) for t in members}
+            out.direct[key] = [t for t in members if needed[t] > BANDS]
+            members = [t for t in members if needed[t] <= BANDS]
             out.bands[key] = []
-            for band in range(BANDS):
+            for band in range(max([needed[t] for t in members], default=0)):
                 values = np.array([(_narrow(out.shingles[t]) * _FACTOR[band] + _SHIFT[band]).min() for t in members])
                 order = np.argsort(values, kind="stable")
                 out.bands[key].append((values[order], np.array(members)[order]))
@@ -127,12 +142,16 @@ class Index:
             to = np.arange(count.sum()) + np.repeat(begin[:-1] - (np.cumsum(count) - count), count)
             of = np.arange(count.sum()) + np.repeat(words.offsets[:-1] - (np.cumsum(count) - count), count)
             narrow = _narrow(shingles)[of]
-            for band in range(BANDS):
+            for level in levels:
+                for t in self.direct[size, level]:
+                    blocks = np.unique(to[np.isin(shingles[of], self.shingles[t])] // (BLOCK << level))
+                    found.update((size, level, int(h), t) for b in blocks for h in range(max(0, b - 2), b + 1))
+            for band in range(max(len(self.bands[size, level]) for level in levels)):
                 values = np.full(begin[-1], _NONE)
                 values[to] = narrow * _FACTOR[band] + _SHIFT[band]
                 least = np.minimum.reduce([values[k::BLOCK] for k in range(BLOCK)])
                 for level in range(levels[-1] + 1):
-                    if (size, level) in self.bands:
+                    if band < len(self.bands.get((size, level), ())):
                         known, members = self.bands[size, level][band]
                         window = least.copy()
                         window[:-1] = np.minimum(window[:-1], least[1:])
