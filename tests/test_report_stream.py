@@ -9,7 +9,7 @@ from webposture import Collected, ScanOptions, rules, run_scans, schemas
 from webposture.operators import pages, report
 from webposture.sources import sinks, tables
 from webposture.streaming.frontier import dedupe_urls
-from webposture.streaming.pacing import stream_pacing
+from webposture.streaming.pacing import start_pacing_sink, stream_pacing
 from webposture.streaming.pages import running_summary, start_findings_sink, stream_findings
 
 ROWS = [
@@ -156,3 +156,23 @@ def test_stream_pacing_keeps_its_state_between_batches(spark, tmp_path):
     stream_pacing(log, 2.0).writeStream.format("memory").queryName("waits").trigger(availableNow=True).start().awaitTermination()
     waits = {r.seq: round(r.wait, 6) for r in spark.table("waits").collect()}
     assert waits == {0: 0.0, 1: 0.0, 2: 0.5, 10: 0.9, 11: 1.4, 21: 1.9, 20: 0.0}
+
+
+def test_pacing_sink_spreads_a_domain(spark, tmp_path):
+    """Same waits as above, over batches; and one domain's requests of a batch are in several tasks."""
+    times = [[0, 0, 0], [100, 100], [10_000, 90], [20_000 + 10 * k for k in range(2000)]]
+    for batch, at in enumerate(times):
+        rows = spark.createDataFrame([("d", 1_000_000 + t, batch * 10 + i) for i, t in enumerate(at)], "domain string, ms long, seq long")
+        rows.selectExpr("domain", "timestamp_millis(ms) ts", "seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        start_pacing_sink(log, str(tmp_path / "out"), str(tmp_path / "checkpoint"), 2.0, available_now=True).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    batches = [spark.read.parquet(str(tmp_path / f"out/waits/batch={k}")).selectExpr("*", "input_file_name() f").collect() for k in range(4)]
+    waits = {r.seq: round(r.wait, 6) for b in batches[:3] for r in b}
+    assert waits == {0: 0.0, 1: 0.0, 2: 0.5, 10: 0.9, 11: 1.4, 21: 1.9, 20: 0.0}
+    # The bucket is full at the start, loses a request every 10 ms and gains 2 a second.
+    assert {r.seq: round(r.wait, 6) for r in batches[3]} == {30 + k: round(max(0.0, (k - 1) / 2 - 0.01 * k), 6) for k in range(2000)}
+    assert len({r.f for r in batches[3]}) > 1

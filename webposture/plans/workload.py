@@ -16,7 +16,7 @@ from webposture.plans import fixtures as X
 from webposture.plans.scan import Collected, ScanOptions, crawl, run_scans
 from webposture.session import shared_dir
 from webposture.streaming.frontier import dedupe_urls
-from webposture.streaming.pacing import stream_pacing
+from webposture.streaming.pacing import start_pacing_sink
 from webposture.streaming.pages import running_summary, start_findings_sink, stream_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,7 +372,9 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_pacing_wait(spark: SparkSession, sf: str) -> DataFrame:
     log = X.bind(spark, "request_log", events=_stream(spark, sf, "events"))
-    waits = _drain(stream_pacing(log, PACE, PERIOD), "pacing")
+    run = _run_dir(spark, "pacing")
+    start_pacing_sink(log, run, f"{run}/checkpoint", PACE, PERIOD, available_now=True).awaitTermination()
+    waits = spark.read.schema("domain string, ts timestamp, seq bigint, wait double").parquet(f"{run}/waits")
     return waits.select("domain", "seq", F.round(F.col("wait") * 1e6).cast("bigint").alias("wait_us"))
 
 
