@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from webposture import schemas
+from webposture import rules, schemas
 from webposture.operators import ct, dns, tls
 
 
@@ -113,7 +113,7 @@ def test_subdomains(spark):
 
 def test_subdomain_limit_is_byte_order(spark):
     rows = [("e.com", "\n".join(f"{n}.e.com" for n in range(200)))]
-    found = ct.ct_subdomains(spark.createDataFrame(rows, schemas.CT_ENTRIES))
+    found = ct.ct_subdomains(spark.createDataFrame(rows, schemas.CT_ENTRIES), rules.MAX_SUBDOMAINS)
     assert sorted(r.evidence for r in found.collect()) == sorted(f"{n}.e.com" for n in range(200))[:50]
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webposture.functions.hosts import canonical_host
 from webposture.functions.text import keep_where
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -98,8 +99,9 @@ def with_url_parts(df: DataFrame, column: str, out: str = "parts") -> DataFrame:
     """Parse and normalise the http(s) URLs of ``column``.
 
     Adds ``out``: struct(url, scheme, host, port, path, query, fragment), NULL for text that
-    is no valid http(s) URL.  Scheme and host are lower-cased, a default port is dropped, an
-    empty path becomes '/', dot segments are resolved, unsafe characters percent-encoded.
+    is no valid http(s) URL.  Scheme and host are lower-cased, hosts of other scripts and numeric ones take
+    the form of ``functions.hosts``, a default port is dropped, an empty path becomes '/', dot segments are
+    resolved, unsafe characters percent-encoded.
     """
     c = {name: f"__{out}_{name}" for name in ("text", "scheme", "authority", "host", "port", "path", "query", "frag")}
     text = F.col(c["text"])
@@ -122,7 +124,7 @@ def with_url_parts(df: DataFrame, column: str, out: str = "parts") -> DataFrame:
         c["frag"]: percent_encode(F.regexp_extract(text, _WEB, 4), _UNSAFE_FRAGMENT),
     })
     df = df.withColumns({
-        c["host"]: F.lower(decoded),
+        c["host"]: canonical_host(decoded),
         c["port"]: raw_port,
         c["path"]: percent_encode(remove_dot_segments(F.col(c["path"])), _UNSAFE_PATH),
     })

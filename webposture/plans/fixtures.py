@@ -213,16 +213,33 @@ SELECT CAST(c_custkey AS STRING) AS scan_id,
 FROM customer
 """
 
-# URLs in the forms a collector meets: case, ports, dot segments, spaces, other scripts.
+# URLs in the forms a collector meets: case, ports, dot segments, spaces, other scripts, numeric hosts.
 SQL["raw_urls"] = """
 SELECT o_orderkey AS url_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'HTTP://' WHEN 1 THEN 'https://' WHEN 2 THEN ' http:' || chr(92) || chr(92) ELSE 'https:/' END
-  || CASE o_orderkey % 3 WHEN 0 THEN 'Shop' WHEN 1 THEN 'u:p@shop' ELSE '' END || CAST(o_custkey AS STRING) || '.Example.com'
+  || CASE o_orderkey % 3 WHEN 1 THEN 'u:p@' ELSE '' END
+  || CASE o_orderkey % 11
+    WHEN 3 THEN 'BÜCHER.s' || CAST(o_custkey AS STRING) || '.Example'
+    WHEN 5 THEN '例え.テスト。S' || CAST(o_custkey AS STRING)
+    WHEN 6 THEN '0xC0.0250.' || CAST(o_custkey % 65536 AS STRING)
+    WHEN 8 THEN '[2001:DB8:0:0:0:0:0:' || CAST(1 + o_custkey % 9999 AS STRING) || ']'
+    WHEN 9 THEN '1.2.3.' || CAST(256 + o_custkey AS STRING)
+    ELSE CASE o_orderkey % 3 WHEN 0 THEN 'Shop' WHEN 1 THEN 'shop' ELSE '' END || CAST(o_custkey AS STRING) || '.Example.com' END
   || CASE o_orderkey % 5 WHEN 0 THEN ':80' WHEN 1 THEN ':443' WHEN 2 THEN ':8080' WHEN 3 THEN ':99999' ELSE '' END
   || CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '/a/./b/../c' WHEN 2 THEN '/è ê"' WHEN 3 THEN '/../%2E%2e/x/' WHEN 4 THEN '?q=a b''c' WHEN 5 THEN '#frag' ELSE '/p//q?x=1#y' END AS raw_url
 FROM orders
 """
 
+# A shop whose name is not in ASCII, linked in several spellings.
+SQL["idn_pages"] = """
+SELECT 's' || CAST(o_custkey AS STRING) AS scan_id,
+  'https://xn--bcher-kva.s' || CAST(o_custkey AS STRING) || '.example/o/' || CAST(o_orderkey AS STRING) AS url,
+  CAST(200 AS INT) AS status, 'text/html' AS h_content_type, CAST(NULL AS STRING) AS fetch_error,
+  '<a href="https://BÜCHER.S' || CAST(o_custkey AS STRING) || '.Example/a">1</a> <a href="https://buecher.s' || CAST(o_custkey AS STRING) || '.example/b">2</a> ' ||
+    '<a href="//b%C3%BCcher。s' || CAST(o_custkey AS STRING) || '.example/c/' || CAST(o_orderkey AS STRING) || '">3</a> <a href="http://0x7f.1/d">4</a>' AS body
+FROM orders
+"""
+
 _FLAT_HEADERS = {
     "h_content_type": "Content-Type",
     "h_server": "Server",
@@ -271,5 +288,9 @@ def site_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_headers(table(spark, sf_dir, "site_pages"))
 
 
+def idn_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_headers(table(spark, sf_dir, "idn_pages"))
+
+
 def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_headers(table(spark, sf_dir, "page_responses"))

@@ -115,14 +115,16 @@ ORACLE["url_parts"] = """WITH p AS (
   SELECT o_orderkey AS url_id,
     CASE o_orderkey % 4 WHEN 0 THEN 'http' WHEN 2 THEN 'http' ELSE 'https' END AS scheme,
     CASE WHEN o_orderkey % 3 = 1 THEN 'u:p@' ELSE '' END AS userinfo,
-    CASE o_orderkey % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'shop' ELSE '' END || o_custkey || '.example.com' AS host,
+    CASE o_orderkey % 11 WHEN 3 THEN 'xn--bcher-kva.s' || o_custkey || '.example' WHEN 5 THEN 'xn--r8jz45g.xn--zckzah.s' || o_custkey
+      WHEN 6 THEN '192.168.' || (o_custkey % 65536 // 256) || '.' || (o_custkey % 256) WHEN 8 THEN '[2001:db8::' || (1 + o_custkey % 9999) || ']'
+      WHEN 9 THEN NULL ELSE CASE o_orderkey % 3 WHEN 0 THEN 'shop' WHEN 1 THEN 'shop' ELSE '' END || o_custkey || '.example.com' END AS host,
     CASE o_orderkey % 5 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 8080 WHEN 3 THEN 99999 END AS typed_port,
     CASE o_orderkey % 7 WHEN 1 THEN '/a/c' WHEN 2 THEN '/%C3%A8%20%C3%AA%22' WHEN 3 THEN '/x/' WHEN 6 THEN '/p//q' ELSE '/' END AS path,
     CASE o_orderkey % 7 WHEN 4 THEN 'q=a%20b%27c' WHEN 6 THEN 'x=1' END AS query,
     CASE o_orderkey % 7 WHEN 5 THEN 'frag' WHEN 6 THEN 'y' END AS fragment
   FROM orders),
 q AS (SELECT *, CAST(CASE WHEN typed_port <> CASE scheme WHEN 'http' THEN 80 ELSE 443 END THEN typed_port END AS INT) AS port,
-  coalesce(typed_port, 0) <= 65535 AS ok FROM p)
+  coalesce(typed_port, 0) <= 65535 AND host IS NOT NULL AS ok FROM p)
 SELECT url_id,
   CASE WHEN ok THEN scheme || '://' || userinfo || host || coalesce(':' || port, '') || path || coalesce('?' || query, '') || coalesce('#' || fragment, '') END AS url,
   CASE WHEN ok THEN scheme END AS scheme, CASE WHEN ok THEN host END AS host, CASE WHEN ok THEN port END AS port,
@@ -161,6 +163,10 @@ site_links AS (
   UNION ALL SELECT scan_id, url, 2, site || '/private/' || next2 FROM folders WHERE h_content_type = 'text/html')"""
 SITES = f"{fixture('site_pages', 'site_targets')}, {SITE_LINKS}"
 ORACLE["same_host_links"] = f"WITH {SITES} SELECT scan_id, src_url, CAST(pos AS INT) AS pos, dst_url FROM site_links"
+ORACLE["idn_links"] = """WITH links AS (
+  SELECT 's' || o_custkey AS scan_id, 'https://xn--bcher-kva.s' || o_custkey || '.example/' AS site, o_orderkey AS o FROM orders)
+SELECT scan_id, site || 'o/' || o AS src_url, CAST(0 AS INT) AS pos, site || 'a' AS dst_url FROM links
+UNION ALL SELECT scan_id, site || 'o/' || o, 2, site || 'c/' || o FROM links"""
 
 # Frontier
 
@@ -198,7 +204,7 @@ FROM ({' UNION ALL '.join(f'SELECT * FROM q{n}' for n in range(rules.DEFAULT_DEP
 PLAN = f"""{SITES}, {PATHS},
 good AS (SELECT DISTINCT l.scan_id, l.src_url, regexp_replace(l.dst_url, '#.*$', '') AS dst_url FROM site_links l
   JOIN folders f ON f.scan_id = l.scan_id AND f.url = l.src_url
-  WHERE f.fetch_error IS NULL AND coalesce(f.content_length, 0) <= 10485760 AND f.url NOT LIKE '%/private/%'),
+  WHERE f.fetch_error IS NULL AND f.url NOT LIKE '%/private/%'),
 walk(scan_id, url, depth) AS (
   SELECT scan_id, target_url, 0 FROM site_targets
   UNION SELECT scan_id, rtrim(target_url, '/') || p, 0 FROM site_targets, paths
@@ -210,7 +216,7 @@ ORACLE["crawl_plan"] = f"WITH RECURSIVE {PLAN} SELECT * FROM plan"
 SITE_SECRETS = content("fetched", "scan_id")
 SITE_FINDINGS = f"""{PLAN},
 fetched AS (SELECT f.* FROM folders f JOIN plan p ON p.scan_id = f.scan_id AND p.url = f.url
-  WHERE p.allowed AND f.fetch_error IS NULL AND coalesce(f.content_length, 0) <= 10485760),
+  WHERE p.allowed AND f.fetch_error IS NULL),
 {SITE_SECRETS}, {values('expected', 'name, sev', [(h.name, h.severity) for h in rules.SECURITY_HEADERS])},
 site_findings AS (SELECT * FROM secrets UNION ALL {found(
     'url', 'sev', 'missing_security_header', "'Missing ' || name || ' header'",
@@ -218,7 +224,7 @@ site_findings AS (SELECT * FROM secrets UNION ALL {found(
   FROM fetched, expected WHERE status = 200 AND h_content_type = 'text/html')"""
 ORACLE["site_findings"] = f"WITH RECURSIVE {SITE_FINDINGS} SELECT {ALL_COLUMNS} FROM site_findings"
 INFO = """log AS (SELECT p.scan_id, p.allowed, f.fetched_at,
-    NOT p.allowed OR f.fetch_error IS NOT NULL OR coalesce(f.content_length, 0) > 10485760 AS failed, strlen(f.body) AS size
+    NOT p.allowed OR f.fetch_error IS NOT NULL AS failed, strlen(f.body) AS size
   FROM plan p LEFT JOIN folders f ON p.scan_id = f.scan_id AND p.url = f.url WHERE f.url IS NOT NULL OR NOT p.allowed),
 totals AS (SELECT scan_id, min(fetched_at) AS s, max(fetched_at) AS e, count(*) AS pages_crawled,
     count(*) FILTER (failed) AS errors, CAST(sum(CASE WHEN failed THEN 0 ELSE size END) AS BIGINT) AS bytes_downloaded FROM log GROUP BY scan_id),
@@ -335,12 +341,12 @@ ORACLE["tls_posture"] = f"WITH {TLS} SELECT * EXCLUDE (domain) FROM tls_findings
 CT = f"""{fixture('ct_entries')},
 names AS (SELECT domain, unnest(string_split(name_value, chr(10))) AS raw FROM ct_entries),
 subs AS (SELECT DISTINCT domain, lower(regexp_replace(trim(raw), '^(\\*\\.)+', '')) AS sub FROM names),
-capped AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sub) AS n FROM subs WHERE sub <> '' AND suffix(sub, domain) AND sub <> domain),
+numbered_subs AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sub) AS n FROM subs WHERE sub <> '' AND suffix(sub, domain) AND sub <> domain),
 ct_findings AS ({found("'https://' || sub", "'info'", 'subdomain_discovered', "'Subdomain found: ' || sub",
-                       "'Named in certificate transparency logs; check that it is still in use'", 'sub', scan='domain, ')}
-  FROM capped WHERE n <= 50)"""
-ORACLE["ct_subdomains"] = f"WITH {CT} SELECT * FROM ct_findings"
-ORACLE["ct_subdomain_names"] = f"WITH {CT} SELECT domain, sub AS evidence FROM capped"
+                       "'Named in certificate transparency logs; check that it is still in use'", 'sub', scan='n, domain, ')}
+  FROM numbered_subs)"""
+ORACLE["ct_subdomains"] = f"WITH {CT} SELECT * EXCLUDE (n) FROM ct_findings WHERE n <= 50"
+ORACLE["ct_subdomain_names"] = f"WITH {CT} SELECT domain, sub AS evidence FROM numbered_subs"
 ORACLE["ct_match_targets"] = f"""WITH {CT}, {fixture('dns_targets')},
 feed AS (SELECT DISTINCT sub, regexp_extract(sub, '(?:^|\\.)(d[0-9]+\\.example\\.com)$', 1) AS domain FROM subs)
 SELECT f.domain, f.sub AS subdomain FROM feed f JOIN dns_targets t ON t.domain = f.domain WHERE f.sub <> f.domain"""

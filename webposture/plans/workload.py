@@ -13,7 +13,7 @@ from webposture.functions import urls as U
 from webposture.operators import ct, dns, frontier, links, pacing, pages, report, robots, tls
 from webposture.operators.findings import finding_type_label, severity_label
 from webposture.plans import fixtures as X
-from webposture.plans.scan import Collected, ScanOptions, crawl, run_scans
+from webposture.plans.scan import Collected, crawl, run_scans
 from webposture.session import shared_dir
 from webposture.streaming.frontier import dedupe_urls
 from webposture.streaming.pacing import start_pacing_sink
@@ -24,8 +24,6 @@ QUERIES: dict[str, Query] = {}
 
 # Pacing of the event log: two requests per day and domain.
 PACE, PERIOD = 2.0, 86_400.0
-# Limits are asked for; by default there are none.
-LIMITED = ScanOptions(max_response_bytes=rules.MAX_RESPONSE_BYTES, max_subdomains=rules.MAX_SUBDOMAINS)
 
 
 def query(function: Query) -> Query:
@@ -109,6 +107,12 @@ def same_host_links(spark: SparkSession, sf: str) -> DataFrame:
     return links.same_host_links(links.page_links(X.site_responses(spark, sf)))
 
 
+@query
+def idn_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to the same host in other spellings of its name."""
+    return links.same_host_links(links.page_links(X.idn_responses(spark, sf)))
+
+
 @query
 def seed_probes(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.seed_probes(X.table(spark, sf, "typed_targets"))
@@ -145,7 +149,7 @@ def _sites(spark: SparkSession, sf: str) -> Collected:
 @query
 def crawl_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Frontier of every site with the robots decision, from page bodies on."""
-    plan, _ = crawl(_sites(spark, sf), LIMITED)
+    plan, _ = crawl(_sites(spark, sf))
     return plan.select("scan_id", "url", "depth", "allowed")
 
 
@@ -268,7 +272,7 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
         pages.scan_page(X.responses(spark, sf)),
         dns.dns_posture(targets, X.table(spark, sf, "dns_records")),
         tls.tls_posture(X.table(spark, sf, "tls_observations").join(targets, "domain")),
-        report.for_scans(ct.ct_subdomains(X.table(spark, sf, "ct_entries"), rules.MAX_SUBDOMAINS), targets),
+        report.for_scans(ct.ct_subdomains(X.table(spark, sf, "ct_entries")), targets),
     )
 
 
@@ -296,13 +300,13 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_info(spark: SparkSession, sf: str) -> DataFrame:
-    return run_scans(_sites(spark, sf), LIMITED).scan_info
+    return run_scans(_sites(spark, sf)).scan_info
 
 
 @query
 def site_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of the pages each site's crawl reaches."""
-    return run_scans(_sites(spark, sf), LIMITED).findings
+    return run_scans(_sites(spark, sf)).findings
 
 
 @query
@@ -318,7 +322,7 @@ def scan_status(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
     """The nested report of every site as JSON, 3 findings per part."""
-    done = run_scans(_sites(spark, sf), LIMITED)
+    done = run_scans(_sites(spark, sf))
     return report.report_parts(done.scan_info, done.summary, done.findings, part_rows=3)
 
 
