@@ -123,3 +123,24 @@ def test_feed_matches_end_on_a_label(spark):
     targets = spark.createDataFrame([("1", "e.com"), ("2", "e.com"), ("3", "f.co.uk"), ("4", "co.uk")], "scan_id string, domain string")
     found = {tuple(r) for r in ct.ct_match_targets(feed, targets).collect()}
     assert found == {("e.com", "a.e.com"), ("f.co.uk", "x.y.f.co.uk"), ("co.uk", "x.y.f.co.uk")}
+
+
+def test_a_filter_of_the_targets_before_the_exchange(spark):
+    """Nearly all suffixes that are no target go before anything is shuffled, hot ones like "com" too."""
+    feed = spark.range(3000).selectExpr("concat('a', id % 50, '.h', id, '.example.com') AS name_value").unionByName(
+        spark.createDataFrame([("w.t7.net",), ("x.w.t7.net\nt8.net",)], "name_value string"))
+    targets = spark.range(40).selectExpr("concat('t', id, '.net') AS domain")
+    suffixes = ct.name_suffixes(feed)
+    passed = ct.likely_targets(suffixes, targets)
+    assert suffixes.count() > 9000 and passed.count() < 0.02 * suffixes.count()
+    assert "ShuffledHashJoin" not in passed._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in ct.ct_match_targets(feed, targets).collect()}
+    assert found == {("t7.net", "w.t7.net"), ("t7.net", "x.w.t7.net")}
+
+
+def test_more_targets_than_the_filter_serves(spark, monkeypatch):
+    monkeypatch.setattr(ct, "BLOOM_MOST_BITS", 10)
+    feed = spark.createDataFrame([("*.a.e.com\ne.com",)], "name_value string")
+    targets = spark.createDataFrame([("e.com",), (None,), ("e.com",)], "domain string")
+    assert [tuple(r) for r in ct.ct_match_targets(feed, targets).collect()] == [("e.com", "a.e.com")]
+    assert ct.ct_match_targets(feed, targets.filter("false")).count() == 0

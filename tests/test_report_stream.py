@@ -165,11 +165,15 @@ def test_pacing_sink_spreads_a_domain(spark, tmp_path):
         rows = spark.createDataFrame([("d", 1_000_000 + t, batch * 10 + i) for i, t in enumerate(at)], "domain string, ms long, seq long")
         rows.selectExpr("domain", "timestamp_millis(ms) ts", "seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     log = spark.readStream.schema(schemas.REQUEST_LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # So that neither small partitions nor small files are put together again.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4KB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         start_pacing_sink(log, str(tmp_path / "out"), str(tmp_path / "checkpoint"), 2.0, available_now=True).awaitTermination()
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for key in settings:
+            spark.conf.unset(key)
     batches = [spark.read.parquet(str(tmp_path / f"out/waits/batch={k}")).selectExpr("*", "input_file_name() f").collect() for k in range(4)]
     waits = {r.seq: round(r.wait, 6) for b in batches[:3] for r in b}
     assert waits == {0: 0.0, 1: 0.0, 2: 0.5, 10: 0.9, 11: 1.4, 21: 1.9, 20: 0.0}

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from webposture import schemas
-from webposture.operators import dns, frontier, report, robots
-from webposture.session import materialize
+from webposture.operators import ct, dns, frontier, report, robots
+from webposture.session import bucketed, materialize
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -61,3 +61,22 @@ def test_page_in_very_many_frontiers(skewed):
     scans = hot_domains(skewed).select("scan_id", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"))
     links = materialize(frontier.link_keys(skewed.createDataFrame([("https://d0.com/", "https://d0.com/a")], "src_url string, dst_url string")))
     assert splits(scans.withColumnRenamed("url", "src_url").join(links, "src_url"))
+
+
+def test_names_of_a_hot_target(skewed):
+    feed = materialize(skewed.range(0, 12_000, 1, 4).select(F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(".hot.com")).alias("name_value")))
+    targets = materialize(skewed.createDataFrame([("hot.com",), ("cold.com",)], "domain string"))
+    assert splits(ct.ct_match_targets(feed, targets))
+
+
+def test_one_exchange_per_level(skewed):
+    """Links of one scan each: neither the join with the links nor those with earlier levels shuffle."""
+    level = skewed.createDataFrame([("s", f"https://e.com/{k}") for k in range(9)], "scan_id string, url string")
+    levels = [bucketed(level.withColumn("depth", F.lit(d)), ["scan_id", "url"], 4) for d in range(2)]
+    links = skewed.createDataFrame([("s", f"https://e.com/{k}", f"https://e.com/{k + 1}", 0) for k in range(9)], "scan_id string, src_url string, dst_url string, pos int")
+    edges = bucketed(frontier.link_keys(links), ["scan_id", "src_url"], 4)
+    fresh = frontier.unseen(frontier.next_level(levels[-1], edges, ["scan_id"], False).distinct(), levels, True)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("LeftAnti") == 2
+    assert [tuple(r) for r in fresh.collect()] == [("s", "https://e.com/9")]
+    assert not [t.name for t in skewed.catalog.listTables() if t.name.startswith("webposture_")]

@@ -7,7 +7,9 @@ wide forms and dots of other scripts folded; Unicode composition and the rarer m
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,3 +203,13 @@ def canonical_host(host: Column) -> Column:
         )
 
     return _let(ascii_name(host), finish)
+
+
+def canonical_host_of(name: str) -> Column:
+    """``canonical_host`` of the column ``name``.  It is some thousand nodes, so it is built once per name and JVM."""
+    return _built(name, id(SparkContext._gateway))
+
+
+@lru_cache(maxsize=64)
+def _built(name: str, gateway: int) -> Column:
+    return canonical_host(F.col(name))

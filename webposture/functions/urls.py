@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webposture.functions.hosts import canonical_host
+from webposture.functions.hosts import canonical_host_of
 from webposture.functions.text import keep_where
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -124,10 +124,10 @@ def with_url_parts(df: DataFrame, column: str, out: str = "parts") -> DataFrame:
         c["frag"]: percent_encode(F.regexp_extract(text, _WEB, 4), _UNSAFE_FRAGMENT),
     })
     df = df.withColumns({
-        c["host"]: canonical_host(decoded),
+        c["host"]: decoded,
         c["port"]: raw_port,
         c["path"]: percent_encode(remove_dot_segments(F.col(c["path"])), _UNSAFE_PATH),
-    })
+    }).withColumn(c["host"], canonical_host_of(c["host"]))
     scheme, host, port = F.col(c["scheme"]), F.col(c["host"]), F.col(c["port"])
     number = F.when(port.rlike(r"^[0-9]+\z"), port.try_cast("int"))
     default = F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80))

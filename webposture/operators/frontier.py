@@ -12,7 +12,7 @@ from webposture import rules
 from webposture.functions import urls as U
 from webposture.operators.ordering import with_rank
 from webposture.operators.robots import robots_decision
-from webposture.session import materialize
+from webposture.session import bucketed, materialize
 
 
 def normalize_targets(targets: DataFrame) -> DataFrame:
@@ -58,34 +58,54 @@ def crawl_frontier(
     scans or, with a scan_id, of one scan each.  ``ordered`` adds ``ord``, the positions on the way
     from the seed, which sorts the URLs of a depth in the order a first-in first-out queue would.
 
-    One join per level.  Each level is written once and later levels anti-join the list of levels;
-    links are merged up front, and the joins keep their shuffles so that skewed pages are split at
-    run time.
+    One join per level, and each level is written once.  Links of one scan each are written in buckets of (scan_id, src_url), and levels in buckets of (scan_id, url): then
+    merging repeats is a level's only exchange.  Links that all scans share keep plain shuffles, since there a page that very many
+    scans reach at once is a hot key, which run-time splitting needs a shuffle for.
     """
     scope = [c for c in ("scan_id",) if c in links.columns]
-    edges = materialize(link_keys(links, cross_domain))
+    buckets = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if scope:
+        edges = bucketed(link_keys(links, cross_domain), [*scope, "src_url"], buckets)
+        keep = lambda level: bucketed(level, ["scan_id", "url"], buckets)
+    else:
+        edges, keep = materialize(link_keys(links, cross_domain)), materialize
     position = F.col("pos") if "pos" in start.columns else F.lit(0)
     start = start.select("scan_id", U.strip_fragment(F.col("url")).alias("url"), F.array(position.cast("int")).alias("ord"))
     # min of an array compares position by position
     first = (lambda df: df.groupBy("scan_id", "url").agg(F.min("ord").alias("ord"))) if ordered else (
         lambda df: df.select("scan_id", "url").distinct()
     )
-    levels = [materialize(first(start).withColumn("depth", F.lit(0)))]
+    levels = [keep(first(start).withColumn("depth", F.lit(0)))]
     for depth in range(1, max_depth + 1):
-        found = levels[-1].withColumnRenamed("url", "src_url").join(edges, [*scope, "src_url"])
-        columns = ["scan_id", F.col("dst_url").alias("url")]
-        if ordered:
-            columns.append(F.concat("ord", F.array("pos")).alias("ord"))
-        fresh = first(found.select(*columns))
-        for level in levels:
-            fresh = fresh.join(level.select("scan_id", "url"), ["scan_id", "url"], "left_anti")
-        level = materialize(fresh.withColumn("depth", F.lit(depth)))
+        fresh = unseen(first(next_level(levels[-1], edges, scope, ordered)), levels, bool(scope))
+        level = keep(fresh.withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
+def next_level(level: DataFrame, edges: DataFrame, scope: Sequence[str], ordered: bool) -> DataFrame:
+    """Where the links of a level lead, repeats included."""
+    found = level.withColumnRenamed("url", "src_url").join(edges, [*scope, "src_url"])
+    columns = ["scan_id", F.col("dst_url").alias("url")]
+    if ordered:
+        columns.append(F.concat("ord", F.array("pos")).alias("ord"))
+    return found.select(*columns)
+
+
+def unseen(found: DataFrame, levels: Sequence[DataFrame], in_buckets: bool) -> DataFrame:
+    """What no earlier level has.
+
+    Levels in buckets are joined where they lie, one after the other.  A union of them would lose the buckets, but is shuffled
+    only once where there are none.
+    """
+    seen = [level.select("scan_id", "url") for level in levels]
+    if not in_buckets:
+        seen = [reduce(DataFrame.unionByName, seen)]
+    return reduce(lambda left, right: left.join(right, ["scan_id", "url"], "left_anti"), seen, found)
+
+
 def frontier_levels(frontier: DataFrame) -> DataFrame:
     """Queue length per scan and depth."""
     return frontier.groupBy("scan_id", "depth").agg(F.count("*").alias("urls"))

@@ -213,6 +213,13 @@ SELECT CAST(c_custkey AS STRING) AS scan_id,
 FROM customer
 """
 
+# Every event is a sighting of one of the pages of a user's site.
+SQL["url_sightings"] = """
+SELECT CAST(user_id % 20 AS STRING) AS scan_id, 'https://u' || CAST(user_id AS STRING) || '.example.com/' || CAST(event_id % 7 AS STRING) ||
+    CASE WHEN event_id % 3 = 0 THEN '#top' ELSE '' END AS url, ts AS seen_at
+FROM events
+"""
+
 # URLs in the forms a collector meets: case, ports, dot segments, spaces, other scripts, numeric hosts.
 SQL["raw_urls"] = """
 SELECT o_orderkey AS url_id,

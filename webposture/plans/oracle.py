@@ -252,12 +252,12 @@ robot_rules AS (SELECT origin, n, kind, prefix FROM kinds WHERE kind IS NOT NULL
 ORACLE["robots_rules"] = f"""WITH {ROBOTS}
 SELECT origin, CAST(row_number() OVER (PARTITION BY origin ORDER BY n) - 1 AS INT) AS pos, kind, prefix, CAST(strlen(prefix) AS INT) AS len
 FROM robot_rules"""
-DECIDED = f"""{ROBOTS}, {FLAT},
-urls AS (SELECT resp_id, url, 'https://' || target AS origin, regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1) AS rawpath FROM responses_flat),
+JUDGED = """urls AS (SELECT resp_id, url, 'https://' || target AS origin, regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1) AS rawpath FROM responses_flat),
 pathed AS (SELECT resp_id, url, origin, CASE WHEN rawpath = '' THEN '/' ELSE rawpath END AS path FROM urls),
 decided AS (SELECT resp_id, url,
     coalesce(max(strlen(prefix)) FILTER (kind = 'allow'), -1) >= coalesce(max(strlen(prefix)) FILTER (kind = 'disallow'), -1) AS allowed
   FROM pathed p LEFT JOIN robot_rules r ON r.origin = p.origin AND starts_with(p.path, r.prefix) GROUP BY resp_id, url)"""
+DECIDED = f"{ROBOTS}, {FLAT}, {JUDGED}"
 ORACLE["robots_decision"] = f"WITH {DECIDED} SELECT * FROM decided"
 ORACLE["robots_filter"] = f"WITH {DECIDED} SELECT resp_id, url FROM decided WHERE allowed"
 
@@ -397,7 +397,42 @@ FROM info LEFT JOIN counts USING (scan_id) LEFT JOIN parts USING (scan_id)"""
 
 ORACLE["stream_scan"] = ORACLE["scan_page"]
 ORACLE["stream_finding_rows"] = f"WITH {PAGE} {ROWS} FROM page_findings"
+ORACLE["stream_append_rows"] = ORACLE["stream_finding_rows"]
+ORACLE["stream_scan_allowed"] = f"""WITH {PAGE}, {ROBOTS}, {JUDGED},
+allowed_findings AS (SELECT * REPLACE (regexp_replace(url, '#.*$', '') || CASE WHEN regexp_matches(url, '^https://[^/]*$') THEN '/' ELSE '' END AS url)
+  FROM page_findings WHERE url IN (SELECT url FROM decided WHERE allowed))
+{ROWS} FROM allowed_findings"""
+ORACLE["stream_dedupe_within"] = f"""WITH {fixture('url_sightings')}
+SELECT DISTINCT scan_id, regexp_replace(url, '#.*$', '') AS url FROM url_sightings"""
 ORACLE["stream_dedupe"] = f"""WITH {fixture('crawl_edges')}
 SELECT DISTINCT 'all' AS scan_id, regexp_replace(dst_url, '#.*$', '') AS url FROM crawl_edges"""
 ORACLE["stream_pacing_wait"] = ORACLE["token_bucket_wait"]
 ORACLE["stream_summary"] = f"WITH {PAGE} SELECT scan_id, count(*) AS total_findings, {COUNTS} FROM page_findings GROUP BY scan_id"
+
+# Report files hold what the reports do.
+
+ORACLE["scan_report_files"] = ORACLE["site_findings"]
+ORACLE["csv_report"] = ORACLE["scan_page"]
+
+# Readers: Parquet keeps all rows, of the lines of JSON some are cut off; rows without a key count for both.
+
+
+def read_back(name: str, with_tables: str, table: str, columns: str, key: str, cut: str, no_key: str) -> None:
+    nothing = ", ".join(f"NULL AS {c.split(' AS ')[-1]}" for c in columns.split(", "))
+    ORACLE[name] = f"""WITH {with_tables},
+marked AS (SELECT *, coalesce({cut}, false) AS is_cut, coalesce({no_key}, false) AS no_key FROM {table}),
+forms AS (SELECT 'parquet' AS fmt, CASE WHEN no_key THEN 'missing {key}' END AS reason, * FROM marked
+  UNION ALL SELECT 'json', CASE WHEN is_cut THEN 'unreadable' WHEN no_key THEN 'missing {key}' END, * FROM marked)
+SELECT {columns}, fmt, CAST(NULL AS VARCHAR) AS reason, CAST(1 AS BIGINT) AS n FROM forms WHERE reason IS NULL
+UNION ALL SELECT {nothing}, fmt, reason, count(*) FROM forms WHERE reason IS NOT NULL GROUP BY fmt, reason"""
+
+
+_HEADER_COUNT = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in ("h_content_type", "h_server", *HEADER_COLUMNS))
+read_back("read_responses", f"""{FLAT}, answers AS (SELECT target AS scan_id, url, status, {_HEADER_COUNT} AS headers,
+  CAST(strlen(body) AS INT) AS bytes, content_length, fetch_error FROM responses_flat)""", "answers",
+          "scan_id, url, status, headers, bytes, content_length, fetch_error", "url", "status = 404", "url LIKE '%/.npmrc'")
+read_back("read_robots", fixture("robots_files"), "robots_files", "origin, status, content", "origin", "status IS NULL", "status = 404")
+read_back("read_dns", fixture("dns_records"), "dns_records", "domain, owner, rrtype, rec_no, chunk_no, value", "rrtype", "rrtype = 'CAA'", "rrtype = 'DNSKEY'")
+read_back("read_tls", fixture("tls_observations"), "tls_observations",
+          "domain, tcp_ok, handshake_ok, protocol, not_after_epoch, observed_epoch, http_ok, hsts", "domain", "NOT http_ok", "protocol = 'TLSv1.0'")
+read_back("read_ct", fixture("ct_entries"), "ct_entries", "domain, name_value", "name_value", "name_value LIKE ' %'", "name_value = 'www.unrelated.example.org'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ from webposture.operators import ct, dns, frontier, links, pacing, pages, report
 from webposture.operators.findings import finding_type_label, severity_label
 from webposture.plans import fixtures as X
 from webposture.plans.scan import Collected, crawl, run_scans
-from webposture.session import shared_dir
+from webposture.session import materialize, shared_dir
+from webposture.sources import sinks
+from webposture.sources import tables as readers
 from webposture.streaming.frontier import dedupe_urls
 from webposture.streaming.pacing import start_pacing_sink
-from webposture.streaming.pages import running_summary, start_findings_sink, stream_findings
+from webposture.streaming.pages import running_summary, start_findings_sink, start_scan_sink, stream_findings
+from webposture.streaming.upserts import read_upserts, start_upsert_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,11 +330,88 @@ def scan_reports(spark: SparkSession, sf: str) -> DataFrame:
     return report.report_parts(done.scan_info, done.summary, done.findings, part_rows=3)
 
 
+# Report files: written, and read back.
+
+@query
+def scan_report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings of one JSON report per site."""
+    done, path = run_scans(_sites(spark, sf)), _run_dir(spark, "reports")
+    sinks.write_scan_reports(done.scan_info, done.summary, done.findings, path)
+    return sinks.read_scan_reports(spark, path)
+
+
+@query
+def csv_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The page findings of one CSV report per scan."""
+    found, path = materialize(pages.scan_page(X.responses(spark, sf))), _run_dir(spark, "reports")
+    counts = report.summary(found)
+    sinks.write_scan_reports(counts.select("scan_id"), counts, found, path, "csv")
+    return sinks.read_scan_reports(spark, path, "csv")
+
+
+# Readers: a table is written as Parquet and as lines of JSON, some of them cut off and some rows without a key, and read again.
+
+def _read_back(table: DataFrame, kind: readers.Kind, cut: str, no_key: str, *columns: str) -> DataFrame:
+    """Rows of both forms with a ``reason`` of NULL, and the numbers of the others by reason.
+
+    ``cut`` and ``no_key`` say which rows lose their second half as lines, and which lose the last column that they must have.
+    """
+    spark, path = table.sparkSession, _run_dir(table.sparkSession, "files")
+    key = kind.required[-1]
+    table = materialize(table.select(*kind.schema.names, F.expr(cut).alias("__cut"), F.expr(no_key).alias("__no_key")))
+    table = table.withColumn(key, F.when(~F.coalesce("__no_key", F.lit(False)), F.col(key)))
+    line = F.to_json(F.struct(*kind.schema.names))
+    lines = F.when(F.coalesce("__cut", F.lit(False)), F.left(line, F.length(line).bitwiseOR(F.lit(1)) - 5)).otherwise(line)
+    table.select(*kind.schema.names).write.parquet(f"{path}/parquet")
+    table.select(lines.alias("line")).write.text(f"{path}/json")
+    found = []
+    for fmt in ("parquet", "json"):
+        read = readers.read_checked(spark, f"{path}/{fmt}", kind, fmt)
+        rows = read.rows.selectExpr(*columns)
+        nothing = [F.lit(None).cast(t).alias(n) for n, t in rows.dtypes]
+        found.append(rows.withColumns({"reason": F.lit(None).cast("string"), "n": F.lit(1).cast("long")}))
+        found.append(read.counts().select(*nothing, "reason", F.col("n")))
+        found[-2:] = [f.withColumn("fmt", F.lit(fmt)) for f in found[-2:]]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def read_responses(spark: SparkSession, sf: str) -> DataFrame:
+    pages_of = X.responses(spark, sf).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    return _read_back(
+        pages_of, readers.RESPONSES, "status = 404", "url like '%/.npmrc'",
+        "scan_id", "url", "status", "size(headers) as headers", "octet_length(body) as bytes", "content_length", "fetch_error",
+    )
+
+
+@query
+def read_robots(spark: SparkSession, sf: str) -> DataFrame:
+    return _read_back(X.table(spark, sf, "robots_files"), readers.ROBOTS, "status is null", "status = 404", "origin", "status", "content")
+
+
+@query
+def read_dns(spark: SparkSession, sf: str) -> DataFrame:
+    return _read_back(X.table(spark, sf, "dns_records"), readers.DNS, "rrtype = 'CAA'", "rrtype = 'DNSKEY'", *schemas.DNS_RECORDS.names)
+
+
+@query
+def read_tls(spark: SparkSession, sf: str) -> DataFrame:
+    return _read_back(X.table(spark, sf, "tls_observations"), readers.TLS, "not http_ok", "protocol = 'TLSv1.0'", *schemas.TLS_OBSERVATIONS.names)
+
+
+@query
+def read_ct(spark: SparkSession, sf: str) -> DataFrame:
+    return _read_back(
+        X.table(spark, sf, "ct_entries"), readers.CT, "name_value like ' %'", "name_value = 'www.unrelated.example.org'", "domain", "name_value"
+    )
+
+
 # Streams: every query runs until the source is drained and returns what the sink holds.
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it a file or a folder of files; the path is a pattern, since a stream reads no single file by its name."""
     batch = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(batch.schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _response_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,6 +436,39 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(stream_findings(_response_stream(spark, sf)), "scan")
 
 
+@query
+def stream_scan_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the pages that robots rules allow, the rules read anew for every batch."""
+    run = _run_dir(spark, "allowed")
+    start_scan_sink(
+        _response_stream(spark, sf), f"{run}/out", f"{run}/checkpoint", lambda s: X.table(s, sf, "robots_files"), available_now=True
+    ).awaitTermination()
+    return _rows_in(spark, f"{run}/out")
+
+
+def _rows_in(spark: SparkSession, path: str) -> DataFrame:
+    rows = report.finding_rows(spark.createDataFrame([], schemas.FINDINGS)).schema
+    return spark.read.schema(rows).parquet(path).select(rows.names)
+
+
+@query
+def stream_append_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings-table rows in a store that only appends, every batch delivered twice as after a failure."""
+    run = _run_dir(spark, "append")
+    columns = report.finding_rows(spark.createDataFrame([], schemas.FINDINGS)).columns
+    stored = ", ".join(f"{c} string" for c in [*columns, "query_id", "row_key"]) + ", batch_id long"
+    store = lambda s: s.read.schema(stored).parquet(f"{run}/out")
+    once = sinks.append_sink(lambda rows: rows.write.mode("append").parquet(f"{run}/out"), store, f"{run}/log", "scan")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        once(batch, batch_id)
+        once(batch, batch_id)
+
+    stream_findings(_response_stream(spark, sf)).writeStream.foreachBatch(twice).trigger(availableNow=True).option(
+        "checkpointLocation", f"{run}/checkpoint").start().awaitTermination()
+    return store(spark).select(columns)
+
+
 @query
 def stream_finding_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Findings-table rows as the idempotent sink leaves them."""
@@ -362,8 +476,7 @@ def stream_finding_rows(spark: SparkSession, sf: str) -> DataFrame:
     start_findings_sink(
         stream_findings(_response_stream(spark, sf)), f"{run}/out", f"{run}/checkpoint", available_now=True
     ).awaitTermination()
-    rows = report.finding_rows(spark.createDataFrame([], schemas.FINDINGS)).schema
-    return spark.read.schema(rows).parquet(f"{run}/out").select(rows.names)
+    return _rows_in(spark, f"{run}/out")
 
 
 @query
@@ -373,6 +486,13 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(dedupe_urls(found), "dedupe")
 
 
+@query
+def stream_dedupe_within(spark: SparkSession, sf: str) -> DataFrame:
+    """First sightings of pages, remembered for a day of event time beyond the latest one."""
+    seen = X.bind(spark, "url_sightings", events=_stream(spark, sf, "events"))
+    return _drain(dedupe_urls(seen, "seen_at"), "within").select("scan_id", "url")
+
+
 @query
 def stream_pacing_wait(spark: SparkSession, sf: str) -> DataFrame:
     log = X.bind(spark, "request_log", events=_stream(spark, sf, "events"))
@@ -384,13 +504,8 @@ def stream_pacing_wait(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Running severity counts once the source is drained."""
+    """Running severity counts once the source is drained; a batch writes the scans that it changed."""
     counts = running_summary(stream_findings(_response_stream(spark, sf)))
     run = _run_dir(spark, "summary")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{run}/out")
-
-    counts.writeStream.outputMode("complete").trigger(availableNow=True).option(
-        "checkpointLocation", f"{run}/checkpoint").foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{run}/out")
+    start_upsert_sink(counts, f"{run}/out", f"{run}/checkpoint", ["scan_id"], available_now=True).awaitTermination()
+    return read_upserts(spark, f"{run}/out", counts.schema, ["scan_id"])

@@ -37,3 +37,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Like ``materialize``, dealt into ``buckets`` by ``keys`` and sorted by them, so that joins on them read it without an exchange.
+
+    Rows of a key are in one bucket, which a join cannot split.  The catalogue entry that bucketing takes is dropped again.
+    """
+    spark = df.sparkSession
+    name = f"webposture_{uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from webposture import schemas
 from webposture.operators.findings import FIELDS
 from webposture.operators.report import REPORT_ORDER, finding_rows, ranked_findings
 
 
+#: Quotes are doubled, a missing line is blank.  Without emptyValue Spark writes "" for empty text.
+_CSV = {
+    "header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def write_report_json(info: DataFrame, summary: DataFrame, findings: DataFrame, path: str) -> None:
     """scan_info, summary and findings as JSON lines below ``path``; a missing line is null."""
     keep_nulls = {"ignoreNullFields": "false"}
@@ -22,11 +32,31 @@ def write_report_json(info: DataFrame, summary: DataFrame, findings: DataFrame,
 def write_report_csv(findings: DataFrame, path: str) -> None:
     """Findings, most severe first, with header; quotes are doubled, a missing line is blank."""
     ordered = ranked_findings(findings).orderBy(*REPORT_ORDER).select("scan_id", *FIELDS)
-    # Without emptyValue Spark writes "" for empty text.
-    ordered.write.mode("overwrite").options(
-        header="true", quote='"', escape='"', emptyValue="", nullValue="",
-        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
-    ).csv(path)
+    ordered.write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def write_scan_reports(info: DataFrame, summary: DataFrame, findings: DataFrame, path: str, fmt: str = "json", file_rows: int = 100_000) -> None:
+    """One report per scan: a folder ``scan_id=...`` below ``path``/findings and one below ``path``/heads.
+
+    A scan's findings are in report order within a file and from file to file by name.  The rows are dealt by ranges of (scan, order), so
+    many small scans share a task and a large one is cut into several, each file of ``file_rows`` rows at most.  ``fmt``
+    is json or csv; heads (metrics and counts) are JSON always.
+    """
+    order = ["scan_id", *REPORT_ORDER]
+    ordered = ranked_findings(findings).repartitionByRange(*order).sortWithinPartitions(*order).select("scan_id", *FIELDS)
+    options = {"json": {"ignoreNullFields": "false"}, "csv": _CSV}[fmt]
+    ordered.write.mode("overwrite").partitionBy("scan_id").option("maxRecordsPerFile", file_rows).options(**options).format(fmt).save(f"{path}/findings")
+    heads = info.join(summary, "scan_id").repartitionByRange("scan_id").sortWithinPartitions("scan_id")
+    heads.write.mode("overwrite").partitionBy("scan_id").options(ignoreNullFields="false").json(f"{path}/heads")
+
+
+def read_scan_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """The findings of all reports that ``write_scan_reports`` wrote."""
+    options = {"json": {}, "csv": _CSV | {"multiLine": "true"}}[fmt]
+    found = spark.read.schema(schemas.FINDINGS).options(**options).format(fmt).load(f"{path}/findings").select(*schemas.FINDINGS.names)
+    # A blank in a CSV file is an empty text; only the line may be missing.
+    blank = {} if fmt == "json" else {c: F.coalesce(c, F.lit("")) for c in FIELDS if c != "line_number"}
+    return found.withColumns(blank)
 
 
 def write_findings_table(findings: DataFrame, path: str) -> None:
@@ -47,3 +77,50 @@ def finding_rows_sink(path: str, query_id: str, fmt: str = "parquet") -> Callabl
         rows.write.mode("overwrite").format(fmt).save(f"{path}/query_id={query_id}/batch_id={batch_id}")
 
     return write
+
+
+def append_sink(
+    append: Callable[[DataFrame], None], read: Callable[[SparkSession], DataFrame], log_path: str, query_id: str,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends findings-table rows to any store, once each.
+
+    For stores whose rows cannot be overwritten by folder: ``append`` adds rows, ``read`` returns the store's.  A log below ``log_path``
+    has a folder for each batch that began and one for each that is done, with the number of rows of every scan.  A batch that is
+    done is not written again.  One that began and is not done is compared with the store, and only the rows that are not there
+    are appended, so a sink that fails half way may be tried again.  Rows carry query_id, batch_id and row_key, a hash of the
+    row and of its number among equal ones.
+    """
+    columns = ["scan_id", "severity", "type", "title", "description", "location", "raw_data"]
+    logged = T.StructType([T.StructField("scan_id", T.StringType()), T.StructField("n", T.LongType())])
+
+    def folder(phase: str, batch_id: int) -> str:
+        return f"{log_path}/{phase}/query_id={query_id}/batch_id={batch_id}"
+
+    def exists(spark: SparkSession, path: str) -> bool:
+        try:
+            return not spark.read.schema(logged).parquet(path).isEmpty()
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return False
+            raise
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if exists(spark, folder("done", batch_id)):
+            return
+        counted = finding_rows(batch).groupBy(*columns).agg(F.count("*").alias("__n"))
+        rows = counted.select(*columns, F.explode(F.sequence(F.lit(1), "__n")).alias("__copy")).select(
+            *columns, F.lit(query_id).alias("query_id"), F.lit(batch_id).cast("long").alias("batch_id"),
+            F.sha2(F.to_json(F.struct(*columns, "__copy")), 256).alias("row_key"),
+        )
+        if exists(spark, folder("begun", batch_id)):
+            there = read(spark).filter((F.col("query_id") == query_id) & (F.col("batch_id") == batch_id)).select("row_key")
+            rows = rows.join(there, "row_key", "left_anti").select(*columns, "query_id", "batch_id", "row_key")
+        # A row even if the batch is empty: it says that the batch began.
+        mark = spark.createDataFrame([(None, 0)], logged)
+        mark.write.mode("overwrite").parquet(folder("begun", batch_id))
+        append(rows)
+        sizes = finding_rows(batch).groupBy("scan_id").agg(F.count("*").alias("n")).unionByName(mark)
+        sizes.write.mode("overwrite").parquet(folder("done", batch_id))
+
+    return write

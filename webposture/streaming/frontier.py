@@ -17,4 +17,5 @@ def dedupe_urls(urls: DataFrame, event_time: str | None = None, within: str = "1
     keyed = urls.withColumn("url", U.strip_fragment(F.col("url")))
     if event_time is None:
         return keyed.dropDuplicates(["scan_id", "url"])
+    keyed = keyed.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return keyed.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["scan_id", "url"])

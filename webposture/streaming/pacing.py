@@ -72,7 +72,10 @@ def start_pacing_sink(
             old = spark.read.schema(old.schema).parquet(f"{path}/buckets/batch={batch_id - 1}")
         domain = F.coalesce("domain", F.lit("")).alias("domain")
         rows = batch.select(domain, F.col("ts").cast("timestamp").alias("ts"), "seq").withColumn("us", F.unix_micros("ts"))
-        ranked = with_rank(rows, ["domain"], ["us", "seq"]).join(old, "domain", "left")
+        ranked = materialize(with_rank(rows, ["domain"], ["us", "seq"]))
+        # The old buckets come by chunk: a join on the domain alone would put all its rows into one task.
+        held = ranked.select("domain", "chunk").distinct().join(old, "domain", "left")
+        ranked = ranked.join(held, ["domain", "chunk"])
         last, tokens = F.coalesce("last_us", "first"), F.coalesce("tokens", F.lit(float(rate)))
         clock = F.greatest("us", last)
         ranked = ranked.select(
