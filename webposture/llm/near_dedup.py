@@ -7,8 +7,9 @@ agree enough are confirmed on the full sets.
 
 The sets that share such a prefix are a region.  The search has three steps.  The nearest neighbours in a few trees connect
 most of a group.  Then, in all trees, all pairs of a region that the neighbours reach are looked at, and those that are
-not connected yet are candidates.  A region that is larger is crowded: its sets are dealt into blocks, and a task that
-has two blocks compares all their sets, full ones too, and returns no more links than connect its components.  So a
+not connected yet are candidates.  A region that is larger is crowded: its sets are dealt into blocks by component, and a task that
+has two blocks compares all their sets, full ones too, and returns no more links than connect its components.  Blocks that are
+one component together are left out.  So a
 large group makes no more rows than a few for each of its sets and blocks, and every pair of a region is compared
 that no other link connects.
 """
@@ -318,13 +319,19 @@ def _crowded_links(texts: DataFrame, nodes: DataFrame, shingle_words: int, perce
     sets = places.groupBy("rep").agg(
         F.min("region").alias("region"), F.first("n").alias("n"), F.first("component").alias("component"), F.first("short").alias("short")
     ).join(groups, F.col("rep") == F.col("node")).drop("node")
-    sets = with_rank(sets, ["family"], ["region", "rep"]).drop("chunk", "first")
+    # Sets that are connected already lie side by side, so that most blocks are of one component.
+    sets = with_rank(sets, ["family"], ["component", "region", "rep"]).drop("chunk", "first")
     most = sets.groupBy("family").agg(F.max("n").alias("most"))
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
     sets = materialize(sets.join(most, "family").withColumn("block", F.floor(F.col("rank") / room)).drop("region", "rank", "most"))
     blocks = materialize(places.select("rep", "region").join(sets.select("rep", "family", "block"), "rep").drop("rep").distinct())
     other = blocks.select("region", F.col("block").alias("q"))
     cells = blocks.withColumnRenamed("block", "p").join(other, "region").where("p <= q").select("family", "p", "q").distinct()
+    # Two blocks of the same single component have nothing to find: only what is outside of a region's large components is compared.
+    span = materialize(sets.groupBy("family", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+    for side in ("p", "q"):
+        cells = cells.join(span.select("family", F.col("block").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), ["family", side])
+    cells = cells.where("least(low_p, low_q) < greatest(high_p, high_q)").select("family", "p", "q")
     cells = materialize(cells)
     sides = cells.withColumn("block", F.col("p")).union(cells.where("p < q").withColumn("block", F.col("q")))
     full = _full(texts, nodes, sets.select("rep"), shingle_words).select("rep", "shingles")
