@@ -97,7 +97,8 @@ def decisions(
     before = (F.col("before") + F.col("offset")).cast("double")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
-    extra = F.when(2 * before + F.col("size") * F.col("n_rows") <= 2 * rest, 1).otherwise(0)
+    # A source at its limit has no rest, and units without words take nothing of it.
+    extra = F.when((epochs < MOST_EPOCHS) & (2 * before + F.col("size") * F.col("n_rows") <= 2 * rest), 1).otherwise(0)
     return ran.select(
         "doc_id", "text_hash", "source", "size", "n_rows", "source_size", "target", (epochs + extra).cast("int").alias("copies")
     )
@@ -111,7 +112,11 @@ def mix_report(docs: DataFrame, quality: DataFrame | None = None, **options) ->
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it, ``MOST_EPOCHS`` times at most.
+
+    Rows that repeat an id, a text and a source are taken alike, null ids and sources are values like others, texts without words come as often as
+    the epochs of their source.  Columns stay as they are, whatever their names; an empty table stays empty.
+    """
     names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     of_id, of_text, of_source, copies, hashed, copy = fresh(docs, "of_id", "of_text", "of_source", "copies", "hashed", "copy")
     take = decisions(docs, quality, **options).where("copies > 0").select(
