@@ -155,3 +155,44 @@ def test_pipeline_stages(spark, docs, none, benchmark, labels, tmp_path):
         if name != "token_output":
             assert out.columns == docs.columns
         assert out.count() <= 3 * len(ROWS)
+
+
+def test_a_source_at_its_limit_gives_no_fourth_copy(spark):
+    """One small source has three times its size as target; its empty documents come three times too."""
+    rows = [(k, "w " * 50, "big") for k in range(40)] + [(100 + k, "w " * 5, "small") for k in range(4)] + [(200 + k, ["", None][k % 2], "small") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.decisions(docs, weights=(1, 3)).collect()
+    assert {r.copies for r in found if r.source == "small"} == {3}
+    assert mixing.mix(docs, weights=(1, 3)).where("source = 'small'").count() == 30
+
+
+def test_a_long_text_takes_no_more_than_its_share(spark, benchmark):
+    """Twice the words take about twice the time, with hits all over the text."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"w{k % 4999}" if k % 50 > 20 else f"word{10 + k % 50}" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.time()
+        assert {r.item_id for r in decontaminate.contamination(docs, benchmark).collect()} >= {1}
+        return time.time() - begun
+
+    seconds(1000)
+    small, large = seconds(40_000), seconds(160_000)
+    assert large < 4 * small + 8
+
+
+def test_a_phrase_of_very_many_items(spark):
+    """Items that share a phrase are one block, which is too large for a broadcast."""
+    same = " ".join(f"c{k}" for k in range(13))
+    items = spark.range(500).selectExpr("id AS item_id", f"concat('{same} ', 'own', id, ' tail', id) AS text")
+    docs = spark.createDataFrame([(1, "x y " + same + " z"), (2, "c0 c1 c2 c3"), (3, same.replace("c5", "other"))], "doc_id long, text string")
+    size = decontaminate.BLOCK_SEEDS
+    decontaminate.BLOCK_SEEDS = 300
+    try:
+        found = decontaminate.contamination(docs, items)
+        got = sorted((r.doc_id, r.item_id, r.equal_words) for r in found.collect())
+        assert "BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        decontaminate.BLOCK_SEEDS = size
+    assert got == sorted([(1, k, 13) for k in range(500)] + [(3, k, 12) for k in range(500)])

@@ -111,6 +111,8 @@ class ShardWriter:
         self.out.write(MAGIC)
 
     def add(self, doc_ids: list[int | None], tokens: np.ndarray, lengths: np.ndarray) -> None:
+        if len(tokens) and int(tokens.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(tokens.max())} takes more than {self.width} bytes")
         self.out.write(tokens.astype(f"<u{self.width}").tobytes())
         self.ids.extend(doc_ids)
         self.lengths.append(lengths)
@@ -156,19 +158,28 @@ class ShardReader:
         return self.tokens(self.bounds.select(i), self.bounds.select(i + 1))
 
 
+#: Text in which a token that reaches over white space, or depends on it, would show.
+PROBE = "The quick  brown\tfox\n\n jumps over 12 dogs.\r\nÉtait-ce de la , l' eau ? of the \x0b in to\x0ca x "
+
+
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer whose tokens never reach over ASCII white space.
+    """Encodes texts word by word with a tokenizer whose tokens never reach over ASCII white space, whole with any other.
 
     Equal words have equal ids, so each is encoded once and the ids of a text are put together from those of
-    its words.
+    its words.  Which of the two kinds a tokenizer is shows in ``PROBE``, whose ids must be those of its words.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = self.tokenizer.encode_batch_fast(PROBE.split(), add_special_tokens=False)
+        self.by_word = self._whole(PROBE) == [i for e in parts for i in e.ids]
         self.forget()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         # Hashes in order, and which of the remembered words each is.
         self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -193,6 +204,11 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of documents: index of the first, all their ids, ids of each document."""
+        if not self.by_word:
+            for first, text in enumerate(column.to_pylist()):
+                ids = np.array(self._whole(text or ""), np.uint32)
+                yield first, ids, np.array([len(ids)])
+            return
         for words in chunks(column):
             keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
             if len(self.keys) > MEMO_WORDS:
@@ -297,6 +313,10 @@ def new_folder(spark) -> str:
 
 
 def token_offsets(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 2, **options) -> DataFrame:
-    """Write the documents' ids to shard files and return what the files hold of each document."""
+    """Write the documents' ids to shard files and return what the files hold of each document.
+
+    One row per row of ``docs``: doc_id, start, n_tokens, ids_crc32, in the order that ``write_shards`` states.  Null and empty texts have
+    the end id alone.  An id that takes more bytes than the files give it is an error.  Other columns are not read; no documents, no rows.
+    """
     folder = new_folder(docs.sparkSession)
     return read_shards(write_shards(docs, tokenizer, folder, end_id, **options), folder)
