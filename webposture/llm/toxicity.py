@@ -1,16 +1,17 @@
 """Toxic text by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic documents have and ordinary ones
-hardly ever.  Every window of a document is compressed with both; the bytes that the toxic one saves are
-the evidence, and a calibrated threshold on the windows' evidence decides.  The toxic dictionary ends in the ordinary
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on the text of toxic documents without the words that ordinary
+documents have, too.  Every window of a document is compressed with both; the bytes that the toxic one saves are
+the evidence, and a calibrated threshold on the windows' evidence decides.  For compression the toxic dictionary ends in the ordinary
 one, so that ordinary words cost the same in both and only toxic ones make a difference.
+
+The sample is bounded by its rows alone.  Their whole texts are read by tasks; what reaches the driver is ordinary windows
+of a fixed number, the words and pieces of words that only toxic documents have, and the evidence of documents.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -26,14 +27,16 @@ from webposture.session import materialize
 
 #: The training sample: so many toxic and ordinary rows at most, chosen by a hash of their ids.
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 4500
-#: Bytes of a row's text that training takes, from the whole windows in order; scoring reads all of it.
-SAMPLE_BYTES = 60_000
+#: Windows that the ordinary dictionary is trained on, chosen by a hash.
+ORDINARY_WINDOWS = 30_000
 #: Words of a window.
 WINDOW = 16
 DICTIONARY_BYTES = 32_768
-#: A piece of a word is toxic if toxic documents have it so many times as often as ordinary ones, and such a share of
-#: them has it at least.  The setting that does best on rows set apart is taken.
+#: Ordinary words are left out of the toxic text.  A word stays if toxic documents have one of its beginnings so many times as often as
+#: ordinary ones, and such a share of them has it at least.  Of these settings and sizes of the toxic dictionary the one
+#: that does best on rows set apart is taken.
 SETTINGS = ((150, 0.02), (60, 0.02), (20, 0.01), (8, 0.01))
+TOXIC_BYTES = (512, 2048, 8192)
 #: Saved bytes from which a window counts, one feature each.
 SAVED = (1, 2, 3, 4, 5, 6)
 
@@ -109,8 +112,8 @@ class Model:
         return np.where(evidence[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> None:
-    """Logistic regression on the windows' evidence by Newton steps."""
+def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> float:
+    """Logistic regression on the windows' evidence by Newton steps; returns the mean loss."""
     x = _design(evidence)
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
     x = np.hstack([np.ones((len(x), 1)), (x - model.mean) / model.spread])
@@ -121,47 +124,27 @@ def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> None:
         slope = x.T @ (toxic - p) - ridge @ w
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, slope)
     model.weights = w
+    p = np.clip(model.probability(evidence), 1e-6, 1 - 1e-6)
+    return float(-np.log(np.where(toxic, p, 1 - p)).mean())
 
 
-def fit(texts: Sequence[list[bytes]], toxic: Sequence[bool]) -> Model:
-    """A model from windows of labelled texts, in any order that doesn't depend on the label."""
-    toxic = np.asarray(toxic, bool)
-    apart = np.arange(len(texts)) % 3 == 0
-    learn = [i for i in range(len(texts)) if not apart[i]] or list(range(len(texts)))
-    check = [i for i in range(len(texts)) if apart[i]] or learn
-    counts = [Counter(), Counter()]
-    for i in learn:
-        counts[int(toxic[i])].update(_document_pieces(texts[i]))
-    n = [sum(1 for i in learn if toxic[i] == c) for c in (False, True)]
-    plain = [w for i in learn if not toxic[i] for w in texts[i]]
-    plain = plain[:: max(1, len(plain) // 30_000)]
+def _dictionary(size: int, samples: list[bytes]) -> bytes:
     try:
-        ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, plain).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
-        ordinary = b"".join(plain)[-DICTIONARY_BYTES:]
-    best = None
-    for times, share in SETTINGS:
-        chosen = {
-            p for p, c in counts[1].items()
-            if c >= max(3, share * n[1]) and (c + 0.5) / (n[1] + 1) >= times * (counts[0][p] + 0.5) / (n[0] + 1)
-        }
-        found = Counter(
-            b" " + word + b" " for i in learn if toxic[i] for w in texts[i] for word in w.split() if _pieces(word) & chosen
-        )
-        # The most frequent words last, where the compressor finds them nearest.
-        words = [w for w, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))]
-        model = Model(ordinary, b"".join(words)[-DICTIONARY_BYTES:], np.zeros(1), np.ones(1), np.zeros(2))
-        evidence = np.array([model.evidence(texts[i]) for i in check], float)
-        _calibrate(model, evidence, toxic[check])
-        p = np.clip(model.probability(evidence), 1e-6, 1 - 1e-6)
-        loss = -np.log(np.where(toxic[check], p, 1 - p)).mean()
-        if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
+        return b"".join(samples)[-size:]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model from a bounded sample of the labelled rows; None if either class has no row.
+def _toxic_pieces(pieces: dict[bytes, tuple[int, int]], n: tuple[int, int], times: float, share: float) -> set[bytes]:
+    """Pieces that toxic documents have so many times as often; ``pieces``: in how many toxic and ordinary ones, of ``n`` each."""
+    return {
+        p for p, (toxic, plain) in pieces.items()
+        if toxic >= max(3, share * n[0]) and (toxic + 0.5) / (n[0] + 1) >= times * (plain + 0.5) / (n[1] + 1)
+    }
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The training sample: order, apart (for calibration), toxic, text.
 
     ``labels``: doc_id and toxic (0 or 1); a null label or id is no label, and an id labelled twice is toxic if one
     label says so.  The sample's ids are a few thousand, so they are broadcast.
@@ -174,21 +157,72 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ]
     ids = materialize(ids[0].union(ids[1])).select(F.col("doc_id").alias("id"), "toxic", "order")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    return materialize(rows.select("order", (F.pmod("order", F.lit(3)) == 0).alias("apart"), (F.col("toxic") == 1).alias("toxic"), "text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model from a bounded sample of the labelled rows; None if either class has no row.
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two thirds of the sample give the dictionaries, the others choose and calibrate; where these lack a class, all do both.  Null and empty
+    texts are documents without windows.
+    """
+    rows = sample_rows(docs, labels, id_col, text_col)
+    size = {(r["apart"], r["toxic"]): r["n"] for r in rows.groupBy("apart", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(size.get((False, c), 0) + size.get((True, c), 0) for c in (False, True)):
+        return None
+    learn, check = rows.where("NOT apart"), rows.where("apart")
+    if not all(size.get((a, c), 0) for a in (False, True) for c in (False, True)):
+        learn = check = rows
+        size = {(False, c): size.get((False, c), 0) + size.get((True, c), 0) for c in (False, True)}
+    n = size[False, True], size[False, False]
+
+    def some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in texts_of(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(text), pa.int64())), pa.array(range(len(text)), pa.int64()), pa.array(text, pa.binary())], names=["order", "at", "w"])
+
+    plain = learn.where("NOT toxic").select("order", "text").mapInArrow(some_windows, "order long, at long, w binary")
+    plain = plain.select(F.xxhash64("order", "at").alias("key"), "w").orderBy("key", "w").limit(ORDINARY_WINDOWS).collect()
+    ordinary = _dictionary(DICTIONARY_BYTES, [bytes(r["w"]) for r in plain])
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in texts_of(batch.column(2)):
-                sizes = np.cumsum([len(w) for w in text])
-                kept = text[: max(1, int(np.searchsorted(sizes, SAMPLE_BYTES, "right")))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([kept], pa.list_(pa.binary()))],
-                    names=["order", "toxic", "text"],
-                )
+            for i, text in texts_of(batch.column(1)):
+                found = list(_document_pieces(text))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array(found, pa.binary())], names=["toxic", "piece"])
+
+    counted = learn.select("toxic", "text").mapInArrow(pieces_of, "toxic boolean, piece binary").groupBy("piece").agg(
+        F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("p")
+    )
+    times, share = min(t for t, _ in SETTINGS), min(s for _, s in SETTINGS)
+    rare = (F.col("t") + 0.5) / (n[0] + 1) >= times * (F.col("p") + 0.5) / (n[1] + 1)
+    counted = {bytes(r["piece"]): (r["t"], r["p"]) for r in counted.where((F.col("t") >= max(3.0, share * n[0])) & rare).collect()}
+    wanted = set(counted)
+
+    def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in texts_of(batch.column(1)):
+                found = list(dict.fromkeys(word for w in text for word in w.split() if _pieces(word) & wanted))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.binary()))], names=["order", "words"])
+
+    toxic = learn.where("toxic").select("order", "text").mapInArrow(toxic_words, "order long, words array<binary>")
+    toxic = [[bytes(w) for w in r["words"]] for r in sorted(toxic.collect(), key=lambda r: (r["order"], len(r["words"])))]
+    models = []
+    for setting in SETTINGS:
+        chosen = _toxic_pieces(counted, n, *setting)
+        samples = [b" " + b" ".join(kept) + b" " for words in toxic if (kept := [w for w in words if _pieces(w) & chosen])]
+        models += [Model(ordinary, _dictionary(k, samples), np.zeros(1), np.ones(1), np.zeros(2)) for k in TOXIC_BYTES]
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in texts_of(batch.column(1)):
+                found = [x for model in models for x in model.evidence(text)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found], pa.list_(pa.int64()))], names=["toxic", "found"])
 
-    found = rows.select("order", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sample, "order long, toxic int, text array<binary>")
-    found = sorted(materialize(found).toLocalIterator(), key=lambda r: (r["order"], len(r["text"])))
-    texts, toxic = [[bytes(w) for w in r["text"]] for r in found], [r["toxic"] == 1 for r in found]
-    return fit(texts, toxic) if any(toxic) and not all(toxic) else None
+    found = sorted((r["toxic"], tuple(r["found"])) for r in check.select("toxic", "text").mapInArrow(evidence, "toxic boolean, found array<long>").collect())
+    truth, table = np.array([t for t, _ in found]), np.array([x for _, x in found], float).reshape(len(found), len(models), -1)
+    losses = [_calibrate(model, table[:, k], truth) for k, model in enumerate(models)]
+    return models[int(np.argmin(losses))]
 
 
 def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +243,10 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text the model scores below one half, all columns as they are."""
+    """The rows of ``docs`` whose text the model scores below one half, all columns as they are, whatever their names.
+
+    Null texts and such without words stay, rows that repeat a text share its fate, and without a model all rows stay.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
