@@ -158,6 +158,8 @@ class ShardReader:
         return self.tokens(self.bounds.select(i), self.bounds.select(i + 1))
 
 
+#: Words that the tokenizer encodes at once.
+LEARN_WORDS = 4096
 #: Text in which a token that reaches over white space, or depends on it, would show.
 PROBE = "The quick  brown\tfox\n\n jumps over 12 dogs.\r\nÉtait-ce de la , l' eau ? of the \x0b in to\x0ca x "
 
@@ -188,8 +190,10 @@ class WordEncoder:
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode words with these hashes, which are in order."""
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids = []
+        # The library's results are large objects: only some are held at once.
+        for k in range(0, len(words), LEARN_WORDS):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + LEARN_WORDS], add_special_tokens=False)]
         n, flat = len(self.keys), np.fromiter(chain.from_iterable(ids), np.uint32)
         ends = self.bounds[n] + np.cumsum(np.fromiter(map(len, ids), np.int64))
         if len(self.bounds) < n + len(ids) + 1:
