@@ -49,7 +49,13 @@ def line_sets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not len(hashes):
         return hashes, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     line = np.cumsum(np.r_[False, (number[1:] != number[:-1]) | (words.doc[1:] != words.doc[:-1])])
-    order = np.lexsort((hashes, line))
+    # One sort by line and the hash's first bits; by the whole hash only if two words differ behind them.
+    kept = np.uint64(max(1, int(line[-1]).bit_length()))
+    short = line.astype(np.uint64) << (np.uint64(64) - kept) | hashes >> kept
+    order = np.argsort(short)
+    short, by_short = short[order], hashes[order]
+    if ((short[1:] == short[:-1]) & (by_short[1:] != by_short[:-1])).any():
+        order = np.lexsort((hashes, line))
     hashes, at = hashes[order], line[order]
     fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1])]
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
@@ -89,7 +95,7 @@ def _read(percent: int, shared):
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, rank, twice = shared.value
+        head, rank, by_rank, twice = shared.value
         for batch in batches:
             for words in chunks(batch.column(1)):
                 hashes, bounds, doc, number = line_sets(words)
@@ -103,27 +109,32 @@ def _read(percent: int, shared):
                 hashes, size = hashes[np.repeat(is_first, size)], size[first]
                 begin = np.cumsum(size) - size
                 parity = _parities(hashes, begin)
-                place = np.zeros(len(hashes), np.int64)
+                # Rare words by their keys, then the head's by their ranks: 33 bits, behind them whether it occurs again, before them the line.
+                value = _keys(hashes)
                 if len(head):
                     at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-                    place = np.where(head[at] == hashes, rank[at], 0)
+                    value = np.where(head[at] == hashes, np.uint64(1 << 32) + rank[at], value)
                 line = np.repeat(np.arange(len(size)), size)
-                # One sort by line, count and hash; ties only among words of one count, by their keys.
-                order = np.lexsort((_keys(hashes), place, line))
-                hashes = hashes[order]
+                order = np.sort(line.astype(np.uint64) << np.uint64(34) | value << np.uint64(1) | _is_marked(twice, hashes))
                 position = np.arange(len(hashes)) - begin[line]
                 taken = size - -(-size * percent // 100) + 1
-                hashes = hashes[position < taken[line]]
-                keys = np.where(_is_marked(twice, hashes), _keys(hashes), 0).astype("<u4").tobytes()
-                ends = 4 * np.cumsum(taken)
-                prefix, left, right, sizes = np.full(n_lines, None, object), *np.zeros((2, n_lines), np.int64), np.zeros(n_lines, np.int32)
-                for k, to, n in zip(first.tolist(), ends.tolist(), taken.tolist()):
-                    prefix[k] = keys[to - 4 * n : to]
+                order = order[position < taken[line]]
+                value = order >> np.uint64(1) & np.uint64((1 << 33) - 1)
+                if len(head):
+                    value = np.where(value >> np.uint64(32), by_rank[(value & np.uint64(0xFFFFFFFF)) % np.uint64(len(head))], value)
+                keys = np.where(order & np.uint64(1), value, 0).astype("<u4")
+                length, left, right = np.zeros((3, n_lines), np.int64)
+                sizes = np.zeros(n_lines, np.int32)
+                length[first] = 4 * taken
+                prefix = pa.Array.from_buffers(
+                    pa.large_binary(), n_lines,
+                    [pa.py_buffer(np.packbits(is_first, bitorder="little")), pa.py_buffer(np.r_[0, np.cumsum(length)]), pa.py_buffer(keys)],
+                ).cast(pa.binary())
                 left[first], right[first] = parity[0].view(np.int64), parity[1].view(np.int64)
                 sizes[first] = size
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(words.first + doc)), pa.array(number.astype(np.int32)), pa.array(sets.view(np.int64)),
-                     pa.array(sizes), pa.array(left), pa.array(right), pa.array(prefix, pa.binary())],
+                     pa.array(sizes), pa.array(left), pa.array(right), prefix],
                     names=["id", "line", "set", "size", "left", "right", "prefix"],
                 )
 
@@ -339,8 +350,10 @@ def _members(marks):
                 wanted = _is_marked(marks.value, sets)
                 some = first[wanted]
                 if len(some):
-                    lists = [pa.array(hashes[bounds[k] : bounds[k + 1]].view(np.int64)) for k in some]
-                    column = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.concat_arrays(lists))
+                    size = np.diff(bounds)[some]
+                    ends = np.cumsum(size)
+                    at = np.arange(ends[-1]) + np.repeat(bounds[some] - (ends - size), size)
+                    column = pa.LargeListArray.from_arrays(np.r_[0, ends], pa.array(hashes[at].view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(sets[wanted].view(np.int64)), column.cast(pa.list_(pa.int64()))], names=["set", "words"]
                     )
@@ -395,8 +408,13 @@ def similar_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     floor = count_floor(counts, "n", MOST_WORDS)
     head = counts.where(F.col("n") >= floor).toArrow()
     words, n = head["word"].to_numpy().view(np.uint64), head["n"].to_numpy()
+    # The head's words by hash, with their ranks by count, and their keys by rank.
+    by_rank = np.lexsort((words, n))
+    rank = np.empty(len(n), np.uint64)
+    rank[by_rank] = np.arange(len(n))
     by_hash = np.argsort(words)
-    shared = spark.sparkContext.broadcast((words[by_hash], n[by_hash], _marks(counts.select(F.col("word").alias("key")))))
+    marked = _marks(counts.select(F.col("word").alias("key")))
+    shared = spark.sparkContext.broadcast((words[by_hash], rank[by_hash], _keys(words[by_rank]), marked))
     read = materialize(texts.mapInArrow(_read(percent, shared), "id long, line int, set long, size int, left long, right long, prefix binary"))
     lines = read.select("id", "line", "set")
     # Lines meet by their sets before anything is posted.
