@@ -1,9 +1,11 @@
 """Large groups of similar lines, whose word lists are compared in blocks, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webposture.llm import line_dedup
+from webposture.llm.text import chunks
 
 LINES, WORDS = 5000, 40
 
@@ -27,3 +29,24 @@ def test_group_in_blocks(spark, monkeypatch, hot):
     rows = line_dedup.similar_lines(docs.repartition(5)).collect()
     assert len(rows) == len(want)
     assert {(r[0], r[1]): (r[2], r[3]) for r in rows} == want
+
+
+def test_keys_and_places():
+    """Hashes of words by eight bytes: the same for the same word wherever it stands; places as by binary search."""
+    words = ["a", "A", "ab", "abcdefgh", "abcdefghi", "b" * 63, "b" * 64, "b" * 65, "x" * 5000, "é", "ab\x00", "ab\x00\x00", "abcdefgh\x00"]
+    texts = [" ".join(words), "\n\n".join(reversed(words)) + "\t", "", None, "a" * 100_000, "z" + " ".join(words)]
+    seen: dict[str, set[int]] = {}
+    for found in chunks(pa.array(texts)):
+        for name, key in zip(found.strings(np.arange(len(found.start))), found.keys().tolist()):
+            seen.setdefault(name, set()).add(key)
+        lower = dict(zip(found.strings(np.arange(len(found.start))), found.keys(lower=True).tolist()))
+        assert lower["a"] == lower["A"] != lower["ab"]
+    assert seen.keys() == {*words, "a" * 100_000, "za"} and all(len(x) == 1 for x in seen.values())
+    assert len({k for x in seen.values() for k in x}) == len(seen)
+
+    rng = np.random.default_rng(3)
+    head = np.unique(np.r_[rng.integers(0, 2**64, 3000, np.uint64), np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1)])
+    asked = np.r_[head, rng.integers(0, 2**64, 3000, np.uint64), np.uint64(2**64 - 1), np.uint64(0)]
+    assert (line_dedup._place(head, line_dedup._cells(head), asked) == np.searchsorted(head, asked)).all()
+    less = head[:-1]
+    assert (line_dedup._place(less, line_dedup._cells(less), asked) == np.searchsorted(less, asked)).all()

@@ -28,6 +28,8 @@ from webposture.session import materialize
 
 #: Words whose counts decide on the order; all others are rarer and come first, by their hashes.
 MOST_WORDS = 300_000
+#: First bits of a hash by which the words of the order are looked up.
+CELL_BITS = 20
 #: Words in this many lines or more are hot: their lists are also spread by size, and always dealt into blocks.
 HOT = 100_000
 #: Sets of a block of a list.
@@ -43,11 +45,12 @@ MARK_BITS = 27
 
 def line_sets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Non-empty lines as sets of words: word hashes one after the other, bounds, document, line number from 0."""
-    hashes = words.hashes(lower=True)
-    feeds = np.concatenate([[0], np.cumsum(words.data == 10)])
-    number = feeds[words.start] - feeds[words.bounds[:-1]][words.doc]  # line feeds of the document before the word
+    hashes = words.keys(lower=True)
     if not len(hashes):
         return hashes, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    feeds = np.flatnonzero(words.data == 10)
+    before = np.cumsum(np.bincount(np.searchsorted(words.start, feeds), minlength=len(hashes))[: len(hashes)])
+    number = before - np.searchsorted(feeds, words.bounds[:-1])[words.doc]  # line feeds of the document before the word
     line = np.cumsum(np.r_[False, (number[1:] != number[:-1]) | (words.doc[1:] != words.doc[:-1])])
     # One sort by line and the hash's first bits; by the whole hash only if two words differ behind them.
     kept = np.uint64(max(1, int(line[-1]).bit_length()))
@@ -72,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for batch in batches:
         for words in chunks(batch.column(1)):
-            parts.append(counted(words.hashes(lower=True)))
+            parts.append(counted(words.keys(lower=True)))
             size += len(parts[-1][0])
             if size > 4_000_000:
                 yield _counts(parts)
@@ -95,7 +98,7 @@ def _read(percent: int, shared):
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, rank, by_rank, twice = shared.value
+        head, cells, rank, by_rank, twice = shared.value
         for batch in batches:
             for words in chunks(batch.column(1)):
                 hashes, bounds, doc, number = line_sets(words)
@@ -112,7 +115,7 @@ def _read(percent: int, shared):
                 # Rare words by their keys, then the head's by their ranks: 33 bits, behind them whether it occurs again, before them the line.
                 value = _keys(hashes)
                 if len(head):
-                    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
+                    at = np.minimum(_place(head, cells, hashes), len(head) - 1)
                     value = np.where(head[at] == hashes, np.uint64(1 << 32) + rank[at], value)
                 line = np.repeat(np.arange(len(size)), size)
                 order = np.sort(line.astype(np.uint64) << np.uint64(34) | value << np.uint64(1) | _is_marked(twice, hashes))
@@ -141,6 +144,22 @@ def _read(percent: int, shared):
     return read
 
 
+def _cells(head: np.ndarray) -> np.ndarray:
+    """Where in the sorted hashes ``head`` those with each value of the first ``CELL_BITS`` bits start."""
+    return np.searchsorted(head >> np.uint64(64 - CELL_BITS), np.arange(1 << CELL_BITS, dtype=np.uint64)).astype(np.int32)
+
+
+def _place(head: np.ndarray, cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """``np.searchsorted(head, hashes)``, from the start of each hash's cell on."""
+    ended = np.append(head, np.uint64(2**64 - 1))
+    at = cells[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int32)]
+    behind = np.flatnonzero(ended[at] < hashes)
+    while len(behind):
+        at[behind] += 1
+        behind = behind[ended[at[behind]] < hashes[behind]]
+    return at
+
+
 def _parities(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     """128 bits for each set: whether an odd number of its words is in that hash class."""
     bit = np.uint64(1) << (hashes >> np.uint64(40) & np.uint64(63))
@@ -414,7 +433,7 @@ def similar_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     rank[by_rank] = np.arange(len(n))
     by_hash = np.argsort(words)
     marked = _marks(counts.select(F.col("word").alias("key")))
-    shared = spark.sparkContext.broadcast((words[by_hash], rank[by_hash], _keys(words[by_rank]), marked))
+    shared = spark.sparkContext.broadcast((words[by_hash], _cells(words[by_hash]), rank[by_hash], _keys(words[by_rank]), marked))
     read = materialize(texts.mapInArrow(_read(percent, shared), "id long, line int, set long, size int, left long, right long, prefix binary"))
     lines = read.select("id", "line", "set")
     # Lines meet by their sets before anything is posted.

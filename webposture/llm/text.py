@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Words of up to this many bytes are hashed together, eight bytes at a time.
+_SHORT = 64
+#: What is left of eight bytes if so many belong to the word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _BYTE[SPACE] = 0
 _powers = np.ones(1, np.uint64)
@@ -89,6 +95,27 @@ class Words:
         terms *= _power_table(longest + 1)[place]
         return mix(np.add.reduceat(terms, self.start - begin))
 
+    def keys(self, lower: bool = False) -> np.ndarray:
+        """Hashes as well, others than ``hashes``, eight bytes at a time: in about a quarter of the time."""
+        n = len(self.data)
+        data = np.zeros((n >> 3) + 2 << 3, np.uint8)
+        data[:n] = LOWER[self.data] if lower else self.data
+        eight = data.view("<u8")
+        at, left = self.start, self.end - self.start
+        out = _eight_step(eight, at, left, left.astype(np.uint64) * _STEP)
+        more = np.flatnonzero((left > 8) & (left <= _SHORT))
+        long = np.flatnonzero(left > _SHORT)
+        at, left = at[more], left[more]
+        while len(more):
+            at, left = at + 8, left - 8
+            out[more] = _eight_step(eight, at, left, out[more])
+            some = left > 8
+            more, at, left = more[some], at[some], left[some]
+        for k in long.tolist():
+            word = data[self.start[k] : self.end[k]].tobytes()
+            out[k] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
     def strings(self, which: np.ndarray) -> list[str]:
         """Some of the words as strings."""
         start, length = self.start[which], self.end[which] - self.start[which]
@@ -99,6 +126,14 @@ class Words:
         return joined.tobytes().decode("utf-8", "replace").split("\n")[:-1]
 
 
+def _eight_step(eight: np.ndarray, at: np.ndarray, left: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes with up to eight more bytes: those from byte ``at``, of which ``left`` belong to the word."""
+    cell, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+    # A shift by 64 bits gives 0.
+    found = eight[cell] >> shift | eight[cell + 1] << (np.uint64(64) - shift)
+    return mix(before ^ found & _MASK[np.minimum(left, 8)])
+
+
 def chunks(column: pa.Array, breaks: np.ndarray | None = None) -> Iterator[Words]:
     """The words of a text column in runs of whole documents; a null text has none.
 
