@@ -99,3 +99,32 @@ def test_one_report_per_scan(spark, tmp_path, fmt):
     assert titles == [r.title for r in order.collect()]
     heads = {r.scan_id: r.total_findings for r in spark.read.json(f"{path}/heads").collect()}
     assert heads["big"] == 500 and len(heads) == 41
+
+
+def test_many_reports_share_folders(spark, tmp_path):
+    found, path = findings(spark), str(tmp_path)
+    info = found.select("scan_id").distinct().withColumn("target", found.scan_id)
+    sinks.write_scan_reports(info, report.summary(found), found, path, file_rows=100, max_folders=40, folder_scans=10)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, sinks.read_scan_reports(spark, path).collect()), key=key) == sorted(map(tuple, found.collect()), key=key)
+    folders = {p.name: sorted(p.glob("part*")) for p in (tmp_path / "findings").iterdir() if p.is_dir()}
+    assert set(folders) <= {f"scan_group={k}" for k in range(5)}
+    rows = {name: [json.loads(x) for f in files for x in f.open()] for name, files in folders.items()}
+    assert all(sum(1 for _ in f.open()) <= 100 for files in folders.values() for f in files)
+    # A report is one run of rows, in report order, and its head lies in the folder of the same name.
+    heads = {r.scan_id: f"scan_group={r.scan_group}" for r in spark.read.json(f"{path}/heads").collect()}
+    assert len(heads) == 41
+    for name, lines in rows.items():
+        runs = [r["scan_id"] for i, r in enumerate(lines) if i == 0 or lines[i - 1]["scan_id"] != r["scan_id"]]
+        assert len(runs) == len(set(runs)) and all(heads[s] == name for s in runs)
+    order = ranked_findings(found).filter("scan_id = 'big'").orderBy(*REPORT_ORDER)
+    assert [r["title"] for r in rows[heads["big"]] if r["scan_id"] == "big"] == [r.title for r in order.collect()]
+
+
+def test_a_folder_each_is_only_for_few_reports(spark, tmp_path):
+    found = findings(spark, large=10, small=1_001)
+    info = found.select("scan_id").distinct().withColumn("target", found.scan_id)
+    sinks.write_scan_reports(info, report.summary(found), found, str(tmp_path))
+    for part in ("findings", "heads"):
+        assert len([p for p in (tmp_path / part).iterdir() if p.is_dir()]) == 1
+    assert sinks.read_scan_reports(spark, str(tmp_path)).count() == 1_011
