@@ -8,9 +8,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webposture import rules, schemas
+from webposture import rules, schemas, session
 from webposture.operators import frontier, pacing, robots
 from webposture.operators.ordering import with_rank
+from webposture.plans import fixtures
+from webposture.plans.scan import Collected, crawl
 
 HOST = "https://example.com"
 
@@ -166,3 +168,36 @@ def test_rank_is_dense_per_key(spark, small_chunks):
     df = spark.range(5000).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.hash("id").alias("v"), "id")
     wrong = with_rank(df, ["k"], ["v", "id"]).selectExpr("*", "row_number() over (partition by k order by v, id) - 1 as want").filter("rank <> want")
     assert wrong.count() == 0
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    chain = [("s", f"https://e.com/{k}", f"https://e.com/{k + 1}") for k in range(60)]
+    start = spark.createDataFrame([("s", "https://e.com/0")], "scan_id string, url string")
+    links = spark.createDataFrame(chain, "scan_id string, src_url string, dst_url string")
+    want = sorted(tuple(r) for r in frontier.crawl_frontier(start, links).collect())
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    dealt, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    kept = frontier.bucketed
+    monkeypatch.setattr(frontier, "bucketed", lambda df, keys, buckets: dealt.append(buckets) or kept(df, keys, buckets))
+    assert sorted(tuple(r) for r in frontier.crawl_frontier(start, links).collect()) == want and len(want) == 4
+    assert set(dealt) == {12} and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_targets_are_spread_before_they_become_probes(spark, monkeypatch):
+    monkeypatch.setattr("webposture.plans.scan.TARGETS_A_TASK", 10)
+    seeds = []
+    reached = frontier.crawl_frontier
+    monkeypatch.setattr(frontier, "crawl_frontier", lambda start, *rest: seeds.append(start) or reached(start, *rest))
+    targets = spark.createDataFrame([(f"s{k}", f"https://e{k}.com/") for k in range(40)], schemas.TARGETS).coalesce(1)
+    plan, _ = crawl(Collected(targets, spark.createDataFrame([], schemas.RESPONSES)))
+    assert plan.count() == 40 * (1 + len(rules.SENSITIVE_PATHS))
+    assert seeds[0].rdd.getNumPartitions() == 8
+
+
+def test_narrow_rows_are_spread_before_they_become_many(spark, tmp_path, monkeypatch):
+    orders = spark.range(0, 100, 1, 1).selectExpr("id as o_orderkey", "id % 7 as o_custkey")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    for name, n in (("crawl_edges", 400), ("idn_pages", 100)):
+        monkeypatch.setitem(fixtures.SPREAD, name, 10)
+        found = fixtures.table(spark, str(tmp_path), name)
+        assert found.count() == n and found.rdd.getNumPartitions() == 10
