@@ -135,3 +135,31 @@ def test_same_host_is_exact(spark):
     rows = [("s", "https://e.com/", i, u) for i, u in enumerate(["https://e.com/x", "https://www.e.com/", "http://e.com:81/", "https://e.com.org/"])]
     df = spark.createDataFrame(rows, "scan_id string, src_url string, pos int, dst_url string")
     assert sorted(r.pos for r in links.same_host_links(df).collect()) == [0, 2]
+
+
+def test_bodies_are_tokenized_once(spark):
+    found = links.page_links(pages(spark, ['<a href="x">']))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("textarea") == 1
+
+
+def test_url_in_normal_form_is_what_parsing_gives(spark):
+    tails = ["", "/", "/a", "//", "/a//b/", "/.", "/..", "/.env", "/a/.", "/a/../b", "/a/..b", "/%2e", "/%2E%2e/x", "/%2efoo", "/.%2e?q", "/a\\b", "/a b", "/ä",
+             "/`", "/{x}", "/|^[]", "?q", "/?q='", "/?q=`{}", "/?a/../b", "/?q#f", "/#f`", "/#a#b", "/#{x}", "/a\tb", "/\x7f", "/?\"", "/<", ";p", "/;p=1,2"]
+    sites = ["https://e.com", "http://e.com", "https://E.com", "HTTP://e.com", "https://a.b.c-d_e", "https://e.com.", "https://.e", "https://a..b", "https://1.2", "https://1.2.3.4",
+             "https://0x7f", "https://e.0x1", "https://e1", "https://1e", "https://-", "https://_x", "https://e.com:443", "https://e.com:8", "https://u@e.com", "https://", "https:///e.com",
+             "https:e.com", "ftp://e.com", "https://[::1]", "https://xn--bcher-kva.de", "https://b\u00fccher.de", "https://%65.com", "https://e%", "e.com", " https://e.com", "https://\u4f8b\u3048.jp"]
+    df = spark.createDataFrame([(s + t,) for s in sites for t in tails] + [(None,), ("",)], "u string")
+    whole = {r.u: r.url for r in U.with_url_parts(df, "u").select("u", "parts.url").collect() if r.url is not None}
+    quick = {r.u: r.url for r in U.normalized(df, "u", "url").collect()}
+    assert quick == whole and len(quick) > 500
+    assert df.filter(F.col("u").rlike(U._NORMAL)).count() > 90
+
+
+def test_folder_above(spark):
+    bases = ["https://e.com/", "https://e.com/a", "https://e.com/a/", "https://e.com/a/b?x/y#z/", "https://e.com/a//", "https://e.com/a/./b", "https://e.com/a/../b/c"]
+    refs = ["../x", "../", "../../x/y", "..//x", "../?q", "../#f", "../x/../y", "../.x"]
+    want = {"https://e.com/": "/", "https://e.com/a": "/", "https://e.com/a/": "/", "https://e.com/a/b?x/y#z/": "/", "https://e.com/a//": "/a/", "https://e.com/a/./b": "/",
+            "https://e.com/a/../b/c": "/"}
+    for ref in refs:
+        above = {"../../x/y": ("/x/y", "/x/y"), "../x/../y": ("/y", "/a/y")}.get(ref, ("/" + ref[3:], "/a/" + ref[3:]))
+        assert resolve(spark, [(b, ref) for b in bases]) == ["https://e.com" + above[want[b] == "/a/"] for b in bases], ref
